@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,11 +134,11 @@ class TextIndex:
         return self.top(out, limit)
 
     def _with_phrase(self, words: list[str]) -> DataFrame:
-        """Documents with the words at consecutive places of their kept tokens."""
-        n = len(words)
-        wanted = F.array(*[F.lit(w) for w in words])
-        starts = F.sequence(F.lit(1), F.size("tokens") - n + 1)
-        return self.tokens.filter(F.size("tokens") >= n).filter(F.array_contains("tokens", words[0])).filter(F.exists(starts, lambda i: (F.element_at("tokens", i) == words[0]) & (F.slice("tokens", i, n) == wanted))).select("id")
+        """Documents with the words at consecutive places of their kept tokens. No
+        token has a space, so one substring search over the joined tokens is exact
+        (an expression over places would tokenize the text anew at each)."""
+        joined = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
+        return self.tokens.filter(joined.contains(f" {' '.join(words)} ")).select("id")
 
     def search_phrase(self, phrase: str, limit: int | None = None) -> DataFrame:
         words = [w for w in tx.query_tokens(phrase)]
@@ -200,8 +201,6 @@ class TextIndex:
 
     def highlight(self, query: str) -> DataFrame:
         """id, snippets of the documents with any of the query's terms."""
-        import pandas as pd
-
         terms = tx.query_tokens(query)
 
         @F.pandas_udf("array<string>")
@@ -213,8 +212,6 @@ class TextIndex:
 
 
 def _stemmed(tokens: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def run(rows: pd.Series) -> pd.Series:
         known: dict[str, str] = {}

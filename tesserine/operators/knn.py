@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,6 @@ def search_many(vectors: DataFrame, queries: dict[int, Sequence[float]], k: int
     """query_id, id, distance for a stated set of queries. One pass: each batch of
     vectors meets all queries in one matrix product, keeps k of its rows for each,
     and the few left are cut to k in the end."""
-    import pandas as pd
-
     names = list(queries)
     matrix = np.array([queries[q] for q in names], np.float64)
 
@@ -86,7 +85,6 @@ class InvertedLists:
                     m = own.mean(0)
                     c[j] = m / max(np.linalg.norm(m), 1e-30)
         self.centroids = c
-        import pandas as pd
 
         shared = spark.sparkContext.broadcast(c)
 

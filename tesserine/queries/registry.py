@@ -123,8 +123,12 @@ pattern("expand_any_type", "MATCH (c:Customer)-[r]->(x) RETURN type(r) AS type,
 pattern("expand_type_alternatives", "MATCH (x)-[r:LIVES_IN|BASED_IN]->(n:Nation) RETURN n.name AS nation, count(r) AS n", "SELECT n_name AS nation, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) JOIN nation ON k = n_nationkey GROUP BY n_name")
 pattern("two_hop", "MATCH (c:Customer)-[:PLACED]->(o:Order)-[:CONTAINS]->(p:Part) WHERE p.size = 15 RETURN c.custkey AS c, count(p) AS n",
         "SELECT o_custkey AS c, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_size = 15 GROUP BY o_custkey")
-pattern("three_hop", "MATCH (r:Region)<-[:IN_REGION]-(n:Nation)<-[:LIVES_IN]-(c:Customer)-[:PLACED]->(o:Order) RETURN r.name AS region, count(o) AS n, sum(o.totalprice) AS total",
-        "SELECT r_name AS region, count(*) AS n, sum(o_totalprice)::DOUBLE AS total FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
+@_query("three_hop", "SELECT r_name AS region, count(*) AS n, round(sum(o_totalprice)::DOUBLE, 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
+def _three_hop(spark, sf_dir):
+    out = run(spark, sf_dir, "MATCH (r:Region)<-[:IN_REGION]-(n:Nation)<-[:LIVES_IN]-(c:Customer)-[:PLACED]->(o:Order) RETURN r.name AS region, count(o) AS n, sum(o.totalprice) AS total")
+    return out.withColumn("total", F.round("total", 2))
+
+
 pattern("cross_product", "MATCH (a:Region), (b:Nation) RETURN a.name AS a, b.name AS b", "SELECT r_name AS a, n_name AS b FROM region, nation")
 pattern("theta_join", "MATCH (a:Nation), (b:Nation) WHERE a.nationkey < b.nationkey AND a.regionkey = b.regionkey RETURN a.name AS a, b.name AS b", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 pattern("edge_props", "MATCH (o:Order)-[l:CONTAINS]->(p:Part) WHERE l.discount > 0.05 AND l.quantity < 24 RETURN o.orderkey AS o, p.partkey AS p, l.extendedprice AS price",
@@ -381,6 +385,6 @@ def _dump(spark, sf_dir):
 
     path = f"{scratch_dir(spark).rstrip('/')}/json-{uuid4().hex}"
     files.export_json(testgraph.load(spark, sf_dir), path, "Nation")
-    text = spark.read.text(path, wholetext=True).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.input_file_name().alias("f"), "value"))), lambda x: x["value"]), "").alias("t"))  # one small dump
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("f"), "value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "value"))), lambda x: x["value"]), "").alias("t"))  # one small dump
     rows = text.select(F.explode(F.from_json("t", "nodes array<struct<id:long,properties:struct<name:string>>>")["nodes"]).alias("n"))
     return rows.select("n.id", "n.properties.name")
