@@ -28,7 +28,10 @@ CHARS_PER_EDIT = 12
 LEAST_CHARS = 24
 #: Characters of benchmark items that are indexed and broadcast at once; a larger
 #: benchmark goes over the documents in several blocks.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 2 << 20
+#: Characters of a text whose shared q-grams are counted at once where they are very
+#: many, and how many are very many.
+SEGMENT, MANY = 1 << 12, 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,7 +99,7 @@ class Index:
         seen = np.zeros(1 << 22, bool)
         seen[grams >> np.uint64(42)] = True
         as_int = lambda x: np.array(x, np.int64)
-        return Index(names, texts, strings, as_int(owner), as_int([k for k, _ in rules]), as_int([t for _, t in rules]), grams, np.append(first, len(every)), windows[order], places[order], seen)
+        return Index(names, texts, strings, as_int(owner), as_int([k for k, _ in rules]), as_int([t for _, t in rules]), grams, np.append(first, len(every)), windows[order].astype(np.int32), places[order].astype(np.int32), seen)
 
     def candidates(self, points: np.ndarray) -> list[tuple[int, int, int]]:
         """(window, lowest and highest diagonal) of the bands with enough q-grams."""
@@ -109,21 +112,30 @@ class Index:
         good = self.grams[i] == h[at]
         at, i = at[good], i[good]
         n = self.first[i + 1] - self.first[i]
-        if not n.sum():
+        if n.sum() <= MANY:
+            return self._bands(at, i, n, len(points))
+        # segments overlap by what a window and its edits can span
+        out: set[tuple[int, int, int]] = set()
+        for start in range(0, len(points), SEGMENT):
+            a, b = np.searchsorted(at, (start, start + SEGMENT + 2 * WINDOW))
+            out.update(self._bands(at[a:b], i[a:b], n[a:b], len(points)))
+        return sorted(out)
+
+    def _bands(self, at: np.ndarray, i: np.ndarray, n: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+        """Bands with enough q-grams among those at places `at`, which are number i
+        of the index and have n postings each."""
+        if not len(at):
             return []
         post = np.repeat(self.first[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        window, place = self.windows[post], self.places[post]
-        diagonal = np.repeat(at, n) - place
-        width = self.edits[window] + 1
-        band = diagonal // width
-        span = len(points) + 2 * WINDOW + 2
+        window, place = self.windows[post].astype(np.int64), self.places[post].astype(np.int64)
+        band = (np.repeat(at, n) - place) // (self.edits[window] + 1)
+        span = size + 2 * WINDOW + 2
         out = []
         # each band is two widths long and starts a width after the one before, so
         # any diagonals within k of one another lie in one band
         keys = np.concatenate([window * span + band + WINDOW + 1, window * span + band + WINDOW])
-        grams = np.concatenate([place, place])
-        pairs = np.unique(np.stack([keys, grams]), axis=1)
-        found, count = np.unique(pairs[0], return_counts=True)
+        pairs = np.unique(keys * WINDOW + np.concatenate([place, place]))
+        found, count = np.unique(pairs // WINDOW, return_counts=True)
         w = found // span
         for key, win in zip(found[count >= self.least[w]].tolist(), w[count >= self.least[w]].tolist(), strict=True):
             lo = (key % span - WINDOW - 1) * int(self.edits[win] + 1)
@@ -185,8 +197,8 @@ def align(pattern: np.ndarray, region: np.ndarray, k: int, offset: int = 0) -> t
 
 
 def blocks(benchmark: DataFrame) -> Iterable[list[Row]]:
-    """The items, in blocks of about BLOCK_CHARS characters."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") >= LEAST_CHARS)
+    """The distinct items, in blocks of about BLOCK_CHARS characters."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") >= LEAST_CHARS).distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // BLOCK_CHARS)
     for b in range(n):
@@ -201,8 +213,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the normalized text) for each document and item that meet.
 
     Null and empty texts match nothing, nor do items under LEAST_CHARS characters.
-    Repeated rows, on either side, give repeated rows; null ids are carried; other
-    columns are ignored; an empty table on either side gives an empty result.
+    Repeated documents give repeated rows, a repeated row of the benchmark counts
+    once; null ids are carried; other columns are ignored; an empty table on either
+    side gives an empty result.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]

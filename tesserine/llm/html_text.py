@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,10 +131,12 @@ def render(source: str) -> str:
     tables: list[Table] = []
     lists: list[list] = []  # ordered, number
     hidden = pre = 0
+    opened: Counter[str] = Counter()
 
     def close(entry: list) -> None:
         nonlocal hidden, pre
         name, hid, cell = entry
+        opened[name] -= 1
         hidden -= hid
         flow = flows[-1]
         if name in ("td", "th", "caption") and cell is not None:
@@ -172,6 +175,8 @@ def render(source: str) -> str:
             close(stack.pop())
 
     def find(names: tuple | frozenset, barrier: tuple | frozenset) -> int:
+        if not any(opened[n] for n in names):
+            return -1
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 return i
@@ -227,6 +232,7 @@ def render(source: str) -> str:
                     if name not in BLOCK and any(e[0] in BLOCK for e in stack[i + 1 :]):
                         # an inline element's end doesn't close the blocks within it
                         entry = stack.pop(i)
+                        opened[entry[0]] -= 1
                         hidden -= entry[1]
                     else:
                         pop_to(i)
@@ -288,6 +294,7 @@ def render(source: str) -> str:
             if lists and lists[-1][0]:
                 flow.marker = f"{lists[-1][1]}. "
                 lists[-1][1] += 1
+        opened[name] += 1
         stack.append(entry)
     pop_to(0)
     return re.sub(r"[ \t]+(?=\n)", "", top.value()).rstrip()
