@@ -26,6 +26,8 @@ SHINGLE_WORDS = 3
 #: Distinct fingerprints under one key up to which they are joined pairwise:
 #: about where 64 keys of that many pairs cost as much as the 2,016 variants.
 JOIN_UP_TO = 64
+#: 64-bit words of the bitmap of shared keys, which is broadcast: 4 MB at most.
+BITMAP_WORDS = 1 << 18
 MASK64 = (1 << 64) - 1
 
 
@@ -80,12 +82,20 @@ def links(distinct: DataFrame, join_up_to: int = JOIN_UP_TO) -> DataFrame:
     """Links a > b between distinct fingerprints (column fp), enough of them to
     connect whatever is connected: all links where keys are rare, and where they
     are common a star for each two-wildcard variant."""
-    keys = distinct.select("fp", F.explode(_one_wildcard()).alias("key"))
+    spread = distinct.repartition(common.parallelism(distinct.sparkSession))
+    keys = spread.select("fp", F.explode(_one_wildcard()).alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("fp").alias("b"), F.max("fp").alias("a")).filter("m > 1")
     shared = common.stored(shared, "simhash-keys")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     two = shared.filter("m = 2").select("a", "b").filter(close)
-    members = common.stored(keys.join(shared.filter("m > 2").select("key", "m"), "key"), "simhash-members")
+    # most keys have one fingerprint, so a bitmap of the others' hashes, whose size
+    # is fixed, holds nearly all back from the second shuffle
+    common_keys = shared.filter("m > 2").select("key", "m")
+    place = F.pmod(F.xxhash64("key"), F.lit(64 * BITMAP_WORDS))
+    word, mask = F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(key), {64 * BITMAP_WORDS}) % 64 as int))").alias("mask")
+    bitmap = common_keys.select(word, mask).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    likely = keys.select("fp", "key", word, mask).join(F.broadcast(bitmap), "word").filter(F.col("bits").bitwiseAND(F.col("mask")) != 0).select("fp", "key")
+    members = common.stored(likely.join(common_keys, "key"), "simhash-members")
     light = members.filter(F.col("m") <= join_up_to)
     few = light.select("key", F.col("fp").alias("a")).join(light.select("key", F.col("fp").alias("b")), "key").filter(F.col("a") > F.col("b")).filter(close).select("a", "b")
     heavy = members.filter(F.col("m") > join_up_to).select("fp").distinct()
