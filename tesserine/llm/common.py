@@ -119,3 +119,26 @@ def keep_rows(df: DataFrame, keys: DataFrame, id_column: str, *content: str, how
     right = keys.select(F.col("__id").alias("__rid"), F.col("__hash").alias("__rhash"))
     joined = left.join(right, left["__id"].eqNullSafe(right["__rid"]) & (left["__hash"] == right["__rhash"]), how)
     return joined.select(*[F.col("__row").getField(n).alias(n) for n in names])
+
+
+#: 64-bit words of a bitmap of row keys, which is broadcast: 16 MB at most.
+BITMAP_WORDS = 1 << 20
+
+
+def drop_rows(df: DataFrame, keys: DataFrame, id_column: str, *content: str) -> DataFrame:
+    """Rows of df whose row_key isn't in keys, with df's own columns.
+
+    A bitmap of the keys' hashes, of a fixed size, tells for most rows that they
+    stay; only the others, keys' own rows and a few more, are shuffled to be
+    compared exactly. Where the keys fill the bitmap, all rows are compared so.
+    """
+    names = df.columns
+    place = F.pmod(F.xxhash64("__id", "__hash"), F.lit(64 * BITMAP_WORDS))
+    at = [F.shiftright(place, 6).alias("__word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(__id, __hash), {64 * BITMAP_WORDS}) % 64 as int))").alias("__mask")]
+    bitmap = keys.select(*at).groupBy("__word").agg(F.bit_or("__mask").alias("__bits"))
+    rows = df.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("__row"), *row_key(id_column, *content))
+    marked = rows.select("__row", "__id", "__hash", *at).join(F.broadcast(bitmap), "__word", "left")
+    likely = F.coalesce(F.col("__bits").bitwiseAND(F.col("__mask")) != 0, F.lit(False))
+    right = keys.select(F.col("__id").alias("__rid"), F.col("__hash").alias("__rhash"))
+    compared = marked.filter(likely).join(right, F.col("__id").eqNullSafe(F.col("__rid")) & (F.col("__hash") == F.col("__rhash")), "left_anti")
+    return marked.filter(~likely).select("__row").union(compared.select("__row")).select(*[F.col("__row").getField(n).alias(n) for n in names])

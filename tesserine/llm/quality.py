@@ -262,4 +262,4 @@ def assess(docs: DataFrame) -> DataFrame:
 def filtered(docs: DataFrame) -> DataFrame:
     """Rows of docs that are kept, with docs' own columns."""
     bad = judge(common.stored(counts(docs), "quality")).filter(~F.col("kept")).select("__id", "__hash").distinct()
-    return common.keep_rows(docs, common.stored(bad, "quality-bad"), "doc_id", *[c for c in ("text", "lang", "source") if c in docs.columns], how="left_anti")
+    return common.drop_rows(docs, common.stored(bad, "quality-bad"), "doc_id", *[c for c in ("text", "lang", "source") if c in docs.columns])

@@ -164,7 +164,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     copies = keyed.groupBy("__id", "__hash").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("__id").alias("i"), F.col("__hash").alias("h"))
     kept = common.stored(kept, "simhash-kept")
     repeated = common.stored(kept.join(copies, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__hash") == F.col("h")), "left_semi"), "simhash-repeated")
-    rows = common.keep_rows(docs, kept, "doc_id", "text")
+    mine = F.col("__id").eqNullSafe(F.col("i")) & (F.col("__hash") == F.col("h"))
+    gone = keyed.select("__id", "__hash").join(kept.select(F.col("__id").alias("i"), F.col("__hash").alias("h")), mine, "left_anti").distinct()
+    rows = common.drop_rows(docs, common.stored(gone, "simhash-gone"), "doc_id", "text")
     if repeated.isEmpty():
         return rows
     once = common.keep_rows(rows, repeated, "doc_id", "text").dropDuplicates(["doc_id", "text"])
