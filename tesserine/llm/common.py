@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch, so that a batch of very long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 2048, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
