@@ -75,6 +75,15 @@ def test_planted_outliers_go_and_the_rest_stays(spark):
     assert kept == set(range(300))
 
 
+def test_menus_and_link_lists_go(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9)))
+    clean = [" ".join(word() for _ in range(rng.randint(30, 300))) for _ in range(300)]
+    menus = [" | ".join(f"{word()} {word()}" for _ in range(rng.randint(20, 80))) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(clean + menus)], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in quality.filtered(docs).collect()} == set(range(300))
+
+
 def test_edge_rows(spark):
     docs = edge_docs(spark)
     rows = quality.assess(docs).collect()
