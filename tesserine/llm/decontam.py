@@ -1,6 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into overlapping windows of characters. A region of a
+Benchmark items are cut into overlapping windows of characters: long ones, which
+bear more edits, and short ones at a small stride, so that any verbatim passage of
+SHORT + SHORT_STEP - 1 characters is found wherever it begins. A region of a
 document within k edits of a window shares at least m - q + 1 - k q of its q-grams
 (m: the window's length), and all of these lie on neighbouring diagonals. So the
 shared q-grams are counted in overlapping diagonal bands; bands that reach the
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 from . import common
 
 Q, WINDOW, STEP = 10, 120, 60
+SHORT, SHORT_STEP = 50, 8
 #: One edit is allowed for so many characters of a window.
 CHARS_PER_EDIT = 12
-#: Items with fewer characters are too short to be told from chance.
+#: Items with fewer characters bear no edits: they are found where they stand exactly,
+#: with no letter or digit running on at either end.
 LEAST_CHARS = 24
 #: Characters of benchmark items that are indexed and broadcast at once; a larger
 #: benchmark goes over the documents in several blocks.
@@ -75,18 +79,26 @@ class Index:
     windows: np.ndarray  # postings
     places: np.ndarray
     seen: np.ndarray  # bit table over the top bits of hashes
+    exact: dict[int, tuple[np.ndarray, dict[str, list[int]]]]  # short items by length: sorted hashes, items by text
 
     @staticmethod
     def build(items: Iterable[tuple[int | None, str | None]], q: int = Q) -> Index:
         names, texts, strings, owner = [], [], [], []
+        whole: dict[int, dict[str, list[int]]] = {}
         for name, text in items:
             t = normalized(text or "")
-            if len(t) < LEAST_CHARS:
+            if not t:
                 continue
             names.append(name)
-            last = max(0, len(t) - WINDOW)
-            for s in sorted({*range(0, last + 1, STEP), last}):
-                strings.append(t[s : s + WINDOW])
+            if len(t) < LEAST_CHARS:
+                whole.setdefault(len(t), {}).setdefault(t, []).append(len(names) - 1)
+                continue
+            spans = set()
+            for width, step in ((WINDOW, STEP), (SHORT, SHORT_STEP)):
+                last = max(0, len(t) - width)
+                spans |= {(s, min(s + width, len(t))) for s in (*range(0, last + 1, step), last)}
+            for s, e in sorted(spans):
+                strings.append(t[s:e])
                 texts.append(code_points(strings[-1]))
                 owner.append(len(names) - 1)
         found = [qgrams(t, q) for t in texts]
@@ -98,8 +110,9 @@ class Index:
         grams, first = np.unique(every[order], return_index=True)
         seen = np.zeros(1 << 22, bool)
         seen[grams >> np.uint64(42)] = True
+        exact = {n: (np.unique(np.concatenate([qgrams(code_points(t), n) for t in found])), found) for n, found in whole.items()}
         as_int = lambda x: np.array(x, np.int64)
-        return Index(names, texts, strings, as_int(owner), as_int([k for k, _ in rules]), as_int([t for _, t in rules]), grams, np.append(first, len(every)), windows[order].astype(np.int32), places[order].astype(np.int32), seen)
+        return Index(names, texts, strings, as_int(owner), as_int([k for k, _ in rules]), as_int([t for _, t in rules]), grams, np.append(first, len(every)), windows[order].astype(np.int32), places[order].astype(np.int32), seen, exact)
 
     def candidates(self, points: np.ndarray) -> list[tuple[int, int, int]]:
         """(window, lowest and highest diagonal) of the bands with enough q-grams."""
@@ -163,6 +176,14 @@ class Index:
             row[1:] = [min(row[1], edits), min(row[2], s), max(row[3], e)]
         for w in once:
             out[int(self.owner[w])][0] += 1
+        for n, (hashes, items) in self.exact.items():
+            for s in np.flatnonzero(np.isin(qgrams(points, n), hashes)).tolist():
+                e = s + n
+                if (s and t[s - 1].isalnum() and t[s].isalnum()) or (t[e - 1].isalnum() and t[e : e + 1].isalnum()):
+                    continue
+                for item in items.get(t[s:e], ()):
+                    row = out.setdefault(item, [1, 0, s, e])
+                    row[2:] = [min(row[2], s), max(row[3], e)]
         return out
 
 
@@ -198,7 +219,7 @@ def align(pattern: np.ndarray, region: np.ndarray, k: int, offset: int = 0) -> t
 
 def blocks(benchmark: DataFrame) -> Iterable[list[Row]]:
     """The distinct items, in blocks of about BLOCK_CHARS characters."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") >= LEAST_CHARS).distinct()
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") > 0).distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // BLOCK_CHARS)
     for b in range(n):
@@ -212,7 +233,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, windows (of the item's, found), edits (least), start, end (in
     the normalized text) for each document and item that meet.
 
-    Null and empty texts match nothing, nor do items under LEAST_CHARS characters.
+    Null and empty texts match nothing; items under LEAST_CHARS characters match
+    exactly only, as one window.
     Repeated documents give repeated rows, a repeated row of the benchmark counts
     once; null ids are carried; other columns are ignored; an empty table on either
     side gives an empty result.

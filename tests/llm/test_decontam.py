@@ -72,6 +72,21 @@ def test_segments_find_what_the_whole_finds(monkeypatch):
     assert {(w, lo) for w, lo, _ in index.candidates(points)} == whole and len({index.owner[w] for w, _ in whole}) == 2
 
 
+def test_verbatim_passages_are_found_wherever_they_begin():
+    least = decontam.SHORT + decontam.SHORT_STEP - 1
+    assert least <= 60
+    item = decontam.normalized(prose(21, 60))
+    index = decontam.Index.build([(1, item), (2, prose(22, 60))])
+    for s in range(0, len(item) - least + 1, 3):
+        assert set(index.matches(f"{prose(23, 20)} {item[s : s + least]} {prose(24, 20)}")) == {0}
+
+
+def test_short_items_match_exactly():
+    index = decontam.Index.build([(1, "What is 2+2?"), (2, "red  Fox"), (3, " "), (4, "red fox")])
+    assert index.matches('He asked "what IS\n2+2?" twice, what is 2+2?') == {0: [1, 0, 10, 43]}
+    assert set(index.matches("a (red fox).")) == {1, 2} and not index.matches("bored fox, red foxes, red foz, what is 2+3?")
+
+
 def test_query_and_filter(spark):
     items = [(1, prose(11, 30)), (2, prose(12, 30)), (3, "too short"), (4, None), (None, prose(13, 30)), (1, prose(11, 30))]
     bench = spark.createDataFrame(items, "item_id long, text string")
