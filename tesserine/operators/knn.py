@@ -3,7 +3,8 @@ by hashing."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,14 +26,15 @@ def search(vectors: DataFrame, query: Sequence[float], k: int = 10, metric: str
     return vectors.select("id", d.alias("distance")).filter("distance IS NOT NULL").orderBy("distance", "id").limit(k)
 
 
-def search_many(vectors: DataFrame, queries: dict[int, Sequence[float]], k: int = 10, metric: str = "cosine") -> DataFrame:
+def search_many(vectors: DataFrame, queries: dict[int, Sequence[float]], k: int = 10, metric: str = "cosine", probed: np.ndarray | None = None) -> DataFrame:
     """query_id, id, distance for a stated set of queries. One pass: each batch of
     vectors meets all queries in one matrix product, keeps k of its rows for each,
-    and the few left are cut to k in the end."""
+    and the few left are cut to k in the end. With probed (queries by lists), a
+    query meets only the vectors whose column list it probes."""
     names = list(queries)
     matrix = np.array([queries[q] for q in names], np.float64)
 
-    def distances(x: np.ndarray) -> np.ndarray:
+    def distances(x: np.ndarray, matrix: np.ndarray = matrix) -> np.ndarray:
         if metric == "cosine":
             n = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(matrix, axis=1)[None]
             with np.errstate(invalid="ignore", divide="ignore"):
@@ -48,9 +50,17 @@ def search_many(vectors: DataFrame, queries: dict[int, Sequence[float]], k: int
             batch = batch[batch["embedding"].map(lambda v: v is not None and len(v) == matrix.shape[1])]
             if not len(batch):
                 continue
-            d, ids = distances(np.stack(batch["embedding"].to_numpy()).astype(np.float64)), batch["id"].to_numpy()
+            x, ids = np.stack(batch["embedding"].to_numpy()).astype(np.float64), batch["id"].to_numpy()
+            if probed is None:
+                d = distances(x)
+            else:
+                d, filed = np.full((len(x), len(names)), np.inf), batch["list"].to_numpy()
+                for one in np.unique(filed):
+                    rows, qs = np.flatnonzero(filed == one), np.flatnonzero(probed[:, one])
+                    d[np.ix_(rows, qs)] = distances(x[rows], matrix[qs])
             for j, q in enumerate(names):
                 order = np.lexsort((ids, d[:, j]))[:k]
+                order = order[d[order, j] < np.inf]
                 best.append(pd.DataFrame({"query_id": q, "id": ids[order], "distance": d[order, j]}))
             if len(best) > 64 * len(names):
                 best = [pd.concat(best).sort_values(["distance", "id"]).groupby("query_id").head(k)]
@@ -59,11 +69,24 @@ def search_many(vectors: DataFrame, queries: dict[int, Sequence[float]], k: int
 
     from pyspark.sql import Window
 
-    part = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(run, "query_id long, id long, distance double")
+    part = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), *(["list"] if probed is not None else [])).mapInPandas(run, "query_id long, id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return part.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
 
 
+def query_blocks(queries: DataFrame, size: int = 512) -> Iterator[dict[int, Sequence[float]]]:
+    """The rows of queries (id, embedding) in blocks of about size rows."""
+    n = -(-queries.count() // size)
+    for b in range(n):
+        yield {r[0]: r[1] for r in queries.select("id", "embedding").filter(F.pmod(F.xxhash64("id"), F.lit(n)) == b).collect()}
+
+
+def search_all(queries: DataFrame, search: Callable[[dict[int, Sequence[float]]], DataFrame]) -> DataFrame:
+    """What search gives for all rows of queries, block by block."""
+    found = [search(block) for block in query_blocks(queries) if block]
+    return reduce(DataFrame.unionByName, found) if found else queries.sparkSession.createDataFrame([], "query_id long, id long, distance double")
+
+
 class InvertedLists:
     """Approximate search: vectors are filed under the nearest of some centroids, and
     a query looks at the lists of the nearest few. Every vector is filed; centroids
@@ -101,9 +124,20 @@ class InvertedLists:
         self.filed = self.filed.sparkSession.read.parquet(path)
         return self
 
-    def search(self, query: Sequence[float], k: int = 10, probes: int = 8) -> DataFrame:
+    def probes(self) -> int:
+        """Five eighths of the lists, for a recall over 0.9 also where vectors hardly
+        cluster."""
+        return -(-5 * len(self.centroids) // 8)
+
+    def search_many(self, queries: dict[int, Sequence[float]], k: int = 10, probes: int | None = None) -> DataFrame:
+        near = np.argsort(-(np.array(list(queries.values()), np.float64) @ self.centroids.T), axis=1)[:, : probes or self.probes()]
+        probed = np.zeros((len(queries), len(self.centroids)), bool)
+        np.put_along_axis(probed, near, True, axis=1)
+        return search_many(self.filed, queries, k, probed=probed)
+
+    def search(self, query: Sequence[float], k: int = 10, probes: int | None = None) -> DataFrame:
         q = np.array(query, np.float64)
-        near = np.argsort(-(self.centroids @ q))[:probes].tolist()
+        near = np.argsort(-(self.centroids @ q))[: probes or self.probes()].tolist()
         return search(self.filed.filter(F.col("list").isin(near)), query, k)
 
 
