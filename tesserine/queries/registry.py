@@ -273,6 +273,16 @@ def _embeddings(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
 
 
+@_query("vec_search_many_all", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT query_id, vec_id AS id, 1 - list_cosine_similarity(embedding::DOUBLE[], e) AS d FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS k FROM d) SELECT query_id, id, k FROM r WHERE k <= 5 AND id <> query_id")
+def _search_many_all(spark, sf_dir):
+    """The nearest of every row whose id is divisible by 50, among all rows."""
+    from pyspark.sql import Window
+
+    v = _embeddings(spark, sf_dir)
+    out = knn.search_all(v.filter("id % 50 = 0"), lambda queries: knn.search_many(v, queries, 5))
+    return out.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")).cast("long")).filter("id <> query_id").select("query_id", "id", "k")
+
+
 def _inverted_lists(spark, sf_dir):
     """The nearest ten of every row whose id is divisible by 50, by inverted lists."""
     v = _embeddings(spark, sf_dir)

@@ -24,3 +24,9 @@ def test_inverted_lists_recall(spark, sf_dir):
     recall = sum((q, i) in found for q, ids in want.items() for i in ids) / sum(map(len, want.values()))
     print(f"recall {recall:.4f} of {len(want)} queries")
     assert recall >= 0.9
+
+
+def test_search_many_takes_every_50th_row(spark):
+    rows = registry.QUERIES["vec_search_many_all"](spark, SMALL).collect()
+    want = {(q, i, k) for q, ids in nearest(spark, SMALL, 5).items() for k, i in enumerate(ids, 1) if i != q}
+    assert {(r.query_id, r.id, r.k) for r in rows} == want and len(rows) == len(want)
