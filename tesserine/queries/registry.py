@@ -307,15 +307,24 @@ def _stream_offsets(spark, sf_dir):
     return e.groupBy(F.col("event_type").alias("stream")).agg(F.max("sequence").alias("last_sequence"))
 
 
-@_query("stream_append_trim", "SELECT n AS sequence, event_type AS kind, event_id FROM (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE user_id < 50) WHERE n > 5")
-def _stream_append_trim(spark, sf_dir):
+def _append_trim(spark: SparkSession, events: DataFrame) -> DataFrame:
     s = log.StreamLog(spark)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id < 50")
     s.append("e", events.select(F.col("event_type").alias("kind"), F.to_json(F.struct("event_id")).alias("payload"), "event_id"), ["event_id"])
     s.trim("e", 5)
     return s.read("e").select("sequence", "kind", F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"))
 
 
+@_query("stream_append_trim", "SELECT n AS sequence, event_type AS kind, event_id FROM (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE user_id < 50) WHERE n > 5")
+def _stream_append_trim(spark, sf_dir):
+    return _append_trim(spark, spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id < 50"))
+
+
+@_query("stream_append_trim_all", "SELECT n AS sequence, event_type AS kind, event_id FROM (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) AS n FROM events) WHERE n > 5")
+def _stream_append_trim_all(spark, sf_dir):
+    """The whole table, numbered over all its ranges."""
+    return _append_trim(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
 @_query("stream_continuous", "SELECT event_type AS kind, count(*) AS n, sum(event_id) AS total FROM events GROUP BY event_type")
 def _stream_continuous(spark, sf_dir):
     """The events as a stream of files, aggregated by micro-batches."""
