@@ -21,7 +21,7 @@ from . import common
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head script style template noscript noframes noembed iframe object svg math canvas audio video datalist select option optgroup title textarea".split())
+HIDDEN = frozenset("head script style template noscript noframes noembed iframe object math canvas audio video datalist title textarea desc defs metadata symbol".split())
 PARAGRAPH = frozenset("p blockquote dl fieldset figure form h1 h2 h3 h4 h5 h6 hr ol pre table ul".split())
 BLOCK = PARAGRAPH | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer header hgroup html legend li main menu nav section summary tbody td tfoot th thead tr".split())
 #: An opening tag ends these open elements, up to a barrier.
@@ -35,7 +35,9 @@ P_ENDERS = (BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "bo
 IN_HEAD = frozenset("base link meta title style script template noscript head html".split())
 SCOPE = frozenset("td th table caption html template button object".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*>", re.S)
-_HIDES = re.compile(r"(?:\s|^)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*(?:display\s*:\s*none|visibility\s*:\s*hidden)|'[^']*(?:display\s*:\s*none|visibility\s*:\s*hidden))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_MAY_HIDE = re.compile("hidden|style", re.I)
+_STYLE_HIDES = re.compile(r"(?:^|[;\s/])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -123,6 +125,23 @@ def _span(attributes: str) -> int:
     return min(1000, max(1, int(m[1]))) if m else 1
 
 
+def _attributes(source: str) -> dict[str, str]:
+    """Values by name in lower case; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def _hides(name: str, attributes: str) -> bool:
+    if name in HIDDEN or (name == "option" and "selected" not in _attributes(attributes)):
+        return True
+    if not _MAY_HIDE.search(attributes):
+        return False
+    a = _attributes(attributes)
+    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(_STYLE_HIDES.search(a.get("style", "")))
+
+
 def render(source: str) -> str:
     """The visible text of an HTML document or fragment."""
     top = Layout()
@@ -247,7 +266,7 @@ def render(source: str) -> str:
             while (i := find(names, barrier)) >= 0:
                 pop_to(i)
         flow = flows[-1]
-        hides = name in HIDDEN or (bool(attributes) and _HIDES.search(attributes) is not None)
+        hides = _hides(name, attributes)
         if name in VOID:
             if not hidden and not hides:
                 if name == "br":
@@ -257,12 +276,22 @@ def render(source: str) -> str:
                 elif name == "img" and (alt := re.search(r"\balt\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", attributes, re.I)):
                     flow.text(html.unescape(alt[1] or alt[2] or ""))
             continue
+        if attributes.endswith("/") and (name in ("svg", "math") or opened["svg"]):
+            continue
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
+            if name == "xmp" and not hidden and not hides:
+                flow.block(2)
+                for i, row in enumerate(source[at : end.start()].replace("\r\n", "\n").split("\n")):
+                    if i:
+                        flow.breaks = flow.breaks + 1 if not flow.fresh else 0
+                    if row:
+                        flow.raw(row)
+                flow.block(2)
             at = end.end()
             continue
-        if attributes.endswith("/") and name in ("svg", "math"):
-            continue
+        if name in ("text", "option"):
+            flow.space = True
         entry = [name, 0, None]
         if hides:
             entry[1] = 1

@@ -19,6 +19,14 @@ def test_layout(source, want):
     assert html_text.render(source) == want
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("<p title='the hidden gem'>a</p>", "a"), ('<div class="nav hidden md:flex">a</div>', "a"), ("<p title='style=\"display:none\"'>a</p>", "a"), ("<p data-x=1 HIDDEN>no</p>a", "a"), ("<p style=display:none>no</p>a", "a"),
+    ("<svg><title>no</title><defs><text>no</text></defs><path d='M0'/><text>a</text><text>b</text></svg>c", "a bc"), ("<select><option>no<option selected>a</select>", "a"), ("x<xmp><b>a</xmp>y", "x\n\n<b>a\n\ny"),
+])
+def test_visible_text_stays(source, want):
+    assert html_text.render(source) == want
+
+
 def test_deep_and_broken_pages_take_linear_time():
     for page in ("<div>" * 20000 + "x", "<p><b>" * 20000, "<table><tr><td>" * 800 + "x", "<a '" * 5000, "<li>" * 20000, "&" * 50000, "<!--" * 5000, "</p>" * 20000):
         began = time.time()
