@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,12 +25,38 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system. Python workers stay for
+    the next task, so what one task leaves would count beside what all later ones
+    need."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
+def given_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], done: Callable[[], None] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow; after the last batch done(), which empties caches, and
+    give_back()."""
+
+    def all_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        if done is not None:
+            done()
+        give_back()
+
+    return all_batches
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where that is unset (local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where
+    that is unset a temporary one, in local mode only."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("spark.tesserine.scratch", None)
+        if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="tesserine-")
             spark.conf.set("spark.tesserine.scratch", base)
@@ -87,9 +116,9 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(binary).to_pylist()]
 
 
-def map_rows(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list]], binary: tuple[str, ...] = ()) -> DataFrame:
+def map_rows(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list]], binary: tuple[str, ...] = (), done: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow with a function of column lists; the columns named in binary
-    arrive as UTF-8 bytes with null as empty."""
+    arrive as UTF-8 bytes with null as empty. done() is called at a task's end."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -102,7 +131,7 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[st
             made = fn(given)
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(given_back(run, done), schema)
 
 
 def row_key(id_column: str = "doc_id", *content: str) -> list[Column]:
@@ -121,20 +150,27 @@ def keep_rows(df: DataFrame, keys: DataFrame, id_column: str, *content: str, how
     return joined.select(*[F.col("__row").getField(n).alias(n) for n in names])
 
 
-#: 64-bit words of a bitmap of row keys, which is broadcast: 16 MB at most.
+#: Most 64-bit words of a bitmap of row keys; as a broadcast table a word takes about
+#: 64 bytes.
 BITMAP_WORDS = 1 << 20
 
 
+def bitmap_words(keys: int, most: int) -> int:
+    """Words of a bitmap with 16 bits for each key, as far as `most` goes."""
+    return max(16, min(most, 1 << (keys // 4).bit_length()))
+
+
 def drop_rows(df: DataFrame, keys: DataFrame, id_column: str, *content: str) -> DataFrame:
-    """Rows of df whose row_key isn't in keys, with df's own columns.
+    """Rows of df whose row_key isn't in keys (a stored table), with df's own columns.
 
-    A bitmap of the keys' hashes, of a fixed size, tells for most rows that they
-    stay; only the others, keys' own rows and a few more, are shuffled to be
-    compared exactly. Where the keys fill the bitmap, all rows are compared so.
+    A bitmap of the keys' hashes tells for most rows that they stay; only the
+    others, keys' own rows and a few more, are shuffled to be compared exactly. It
+    grows with the keys up to BITMAP_WORDS; beyond, more and more rows are compared.
     """
     names = df.columns
-    place = F.pmod(F.xxhash64("__id", "__hash"), F.lit(64 * BITMAP_WORDS))
-    at = [F.shiftright(place, 6).alias("__word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(__id, __hash), {64 * BITMAP_WORDS}) % 64 as int))").alias("__mask")]
+    bits = 64 * bitmap_words(keys.count(), BITMAP_WORDS)
+    place = F.pmod(F.xxhash64("__id", "__hash"), F.lit(bits))
+    at = [F.shiftright(place, 6).alias("__word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(__id, __hash), {bits}) % 64 as int))").alias("__mask")]
     bitmap = keys.select(*at).groupBy("__word").agg(F.bit_or("__mask").alias("__bits"))
     rows = df.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("__row"), *row_key(id_column, *content))
     marked = rows.select("__row", "__id", "__hash", *at).join(F.broadcast(bitmap), "__word", "left")

@@ -3,19 +3,25 @@
 Each text gives counts; base rules reject the shortest and most repetitive ones.
 The counts of the others become a vector of transformed statistics, whose centre
 and scatter are estimated for each language and source by the minimum covariance
-determinant: concentration steps keep, again and again, the share of rows nearest
-to the centre and estimate anew from these. Rows far from the centre by their
-Mahalanobis distance are rejected.
-
-Every step is an aggregation over all rows (distances are counted in fixed bins,
-moments are sums of integers), so a source with a third of all rows is never
-gathered anywhere, and results don't depend on how rows are dealt. The steps
-start from medians and quartile ranges.
+determinant: from several starts (medians and quartile ranges, squashed values,
+directions alone), concentration steps keep again and again the share of rows
+nearest to the centre and estimate anew from these, and the start that ends in the
+least determinant counts. Rows far from the centre by their Mahalanobis distance
+are rejected.
+
+A group's estimate leans on its language's, and that on the one of all rows, as
+though PRIOR_ROWS rows of it were the group's own. So each group has its own
+estimate, of however few rows, and no size makes a difference in kind.
+
+Every step is one aggregation over all rows by group and bin of distance (moments
+are sums of integers), so a source with a third of all rows is never gathered
+anywhere, and results don't depend on how rows are dealt. Estimates reach the rows
+as a broadcast table of at most BROADCAST_GROUPS groups; more are joined on the
+group and a salt.
 """
 
 from __future__ import annotations
 
-
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,17 +41,21 @@ SCALE = 1000
 #: repeated share. Many texts have none of the last three, which would leave no
 #: scatter; and length alone is no sign of bad text.
 FLOORS = (1.5, 0.08, 0.10, 0.06, 0.12)
-#: Share of rows that a concentration step keeps, and the number of steps.
-SUBSET, STEPS = 0.75, 4
-#: A group with fewer rows takes the estimate of its language; a language with
-#: fewer rejects nothing.
-LEAST_ROWS = 100
+#: Share of rows that a concentration step keeps, and the most steps; they end
+#: when none changes an estimate.
+SUBSET, STEPS = 0.75, 8
+#: Rows of its language's estimate that a group's own leans on.
+PRIOR_ROWS = 100
 #: Squared distance beyond which a row is rejected, and that up to which rows
-#: enter the last estimate. Chi-square with 5 degrees passes 20.5 at 0.1 % and
-#: 12.8 at 2.5 %.
+#: enter the last estimate: the 99.9 % and 97.5 % quantiles of chi-square with 5
+#: degrees.
 CUTOFF, REWEIGHT = 20.515, 12.83
 CHI2_MEDIAN = 4.3515
 BINS_PER_DOUBLING, LEAST_LOG = 16, -12
+#: Groups whose estimates (about 300 bytes each) are broadcast, and the salts of
+#: the join where there are more.
+BROADCAST_GROUPS, SALTS = 50_000, 64
+STARTS = 3
 
 
 def text_counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -127,14 +137,14 @@ def _features() -> list[Column]:
     return [F.round(x * SCALE).cast("long").alias(f"x{i}") for i, x in enumerate(made)]
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance of x0.. by the columns mu and inv, an inverse
-    Cholesky factor by rows."""
+def squared(x: list[Column], mu: Column, inv: Column) -> Column:
+    """Squared Mahalanobis distance of x by a centre and an inverse Cholesky factor
+    by rows."""
     total, k = F.lit(0.0), 0
     for i in range(FEATURES):
         row = F.lit(0.0)
         for j in range(i + 1):
-            row = row + F.col("inv")[k] * (F.col(f"x{j}") - F.col("mu")[j])
+            row = row + inv[k] * (x[j] - mu[j])
             k += 1
         total = total + row * row
     return total
@@ -144,36 +154,14 @@ def _bin(d: Column) -> Column:
     return F.floor(F.log2(d + 2.0**LEAST_LOG) * BINS_PER_DOUBLING).cast("int")
 
 
-def _edge(b: Column) -> Column:
-    return F.pow(F.lit(2.0), (b + 1) / float(BINS_PER_DOUBLING)) - 2.0**LEAST_LOG
-
-
-def _quantile(counted: DataFrame, keys: list[str], share: float, name: str) -> DataFrame:
-    """The first bin of each key up to which the share of its rows lies."""
-    w = Window.partitionBy(*keys)
-    run = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counted.withColumn("cum", F.sum("c").over(run)).withColumn("all", F.sum("c").over(w))
-    return cum.filter(F.col("cum") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg(F.min("bin").alias(name))
-
-
-def _params(moments: DataFrame) -> DataFrame:
-    """grp, mu, inv of moments grp, n, s (sums), q (sums of products)."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mus, invs = [], []
-            for n, s, q in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                mu, inv = estimate(n, [int(x) for x in s], [int(x) for x in q])
-                mus.append(mu)
-                invs.append(inv)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mus, pa.list_(pa.float64())), pa.array(invs, pa.list_(pa.float64()))], names=["grp", "mu", "inv"])
-
-    return moments.mapInArrow(run, "grp string, mu array<double>, inv array<double>")
+def edge(b: int) -> float:
+    """The upper end of a bin of distances."""
+    return 2.0 ** ((b + 1) / BINS_PER_DOUBLING) - 2.0**LEAST_LOG
 
 
-def estimate(n: int, s: list[int], q: list[int], scale: float = 1.0) -> tuple[list[float], list[float]]:
-    """Centre and inverse Cholesky factor from exact sums; the diagonal has the
-    floors added, so the factor exists whatever the rows."""
+def estimate(n: float, s: list, q: list, scale: float = 1.0) -> tuple[list[float], list[float]]:
+    """Centre and inverse Cholesky factor from sums; the diagonal has the floors
+    added, so the factor exists whatever the rows."""
     mu = [x / n for x in s]
     cov, k = np.zeros((FEATURES, FEATURES)), 0
     for i in range(FEATURES):
@@ -185,15 +173,89 @@ def estimate(n: int, s: list[int], q: list[int], scale: float = 1.0) -> tuple[li
     return mu, [float(inv[i, j]) for i in range(FEATURES) for j in range(i + 1)]
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    number = lambda c: F.sum(c.cast("decimal(20,0)"))
-    s = [number(F.col(f"x{i}")) for i in range(FEATURES)]
-    q = [number(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(FEATURES) for j in range(i + 1)]
-    return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.array(*[x.cast("string") for x in s]).alias("s"), F.array(*[x.cast("string") for x in q]).alias("q"))
+def blended(own: list, prior: list) -> list:
+    """Sums (n, s.., q..) with those of PRIOR_ROWS rows of a prior's mean added."""
+    return [a + PRIOR_ROWS * b / prior[0] for a, b in zip(own, prior, strict=True)]
+
+
+#: Sums of a group: rows, each feature, each product of two.
+SUMS = ("n", *(f"s{i}" for i in range(FEATURES)), *(f"q{i}{j}" for i in range(FEATURES) for j in range(i + 1)))
+
+
+def _sums(x: list[Column]) -> list[Column]:
+    """SUMS of long columns. A bin's sums fit a long up to 2e10 rows; ANSI mode
+    raises beyond that."""
+    products = [x[i] * x[j] for i in range(FEATURES) for j in range(i + 1)]
+    return [F.sum(c).alias(n) for n, c in zip(SUMS, [F.lit(1).cast("long"), *x, *products], strict=True)]
+
+
+def _added(table: DataFrame, *keys: str) -> DataFrame:
+    """SUMS of a table of sums by keys, as decimals."""
+    return table.groupBy(*keys).agg(*[F.sum(F.col(c).cast("decimal(20,0)") if dict(table.dtypes)[c] == "bigint" else F.col(c)).alias(c) for c in SUMS])
+
+
+def _met(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """rows (grp, h: a hash) with the other columns of params (grp, ...; stored), of
+    which each group has one row."""
+    if params.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(params), "grp")
+    salted = params.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, ["grp", "__salt"]).drop("__salt")
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """grp, mu, inv from medians and quartile ranges, counted in whole steps."""
+def _within(table: DataFrame, keep: Column) -> DataFrame:
+    """The bins of a table (lang, grp, start, bin, sums) that keep takes, by the
+    running count `before` them and the count `all` of their group and start."""
+    w = Window.partitionBy("grp", "start")
+    run = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    return table.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).withColumn("all", F.sum("n").over(w)).filter(keep)
+
+
+def _solved(sums: DataFrame, fields: str, solve) -> DataFrame:
+    """grp, start and fields of solve(blended sums, row as a dict) for sums (lang,
+    grp, start, SUMS and more). Sums of a language are those of its groups."""
+    by_lang, by_all = _added(sums, "lang", "start"), _added(sums, "start")
+    named = lambda t, p: t.select(*[F.col(c).alias(p + c) if c in SUMS else F.col(c) for c in t.columns])
+    joined = sums.join(named(by_lang, "l_"), ["lang", "start"]).join(F.broadcast(named(by_all, "a_")), "start")  # STARTS rows
+    strings = joined.select(*[F.col(c).cast("string").alias(c) if c.split("_")[-1] in SUMS else F.col(c) for c in joined.columns])
+
+    def run(c: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {f.split()[0]: [] for f in ("grp", "start", *fields.split(", "))}
+        for row in zip(*c.values(), strict=True):
+            r = dict(zip(c, row, strict=True))
+            own, lang, every = ([int(r[p + n]) for n in SUMS] for p in ("", "l_", "a_"))
+            r |= {"grp": r["grp"], "start": r["start"]} | solve(blended(own, blended(lang, every)), r)
+            for name, values in out.items():
+                values.append(r[name])
+        return out
+
+    return common.map_rows(strings, f"grp string, start int, {fields}", run)
+
+
+ESTIMATE = "mu array<double>, inv array<double>"
+
+
+def _estimated(sums: list, _: dict) -> dict:
+    mu, inv = estimate(sums[0], sums[1 : FEATURES + 1], sums[FEATURES + 1 :])
+    return {"mu": mu, "inv": inv}
+
+
+def _gathered(params: DataFrame) -> DataFrame:
+    """One row for each group: mu and inv as arrays by start."""
+    return common.stored(params.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("start", "mu", "inv"))).alias("p")).select("grp", F.col("p.mu").alias("mu"), F.col("p.inv").alias("inv")), "mcd-params")  # STARTS entries
+
+
+def _binned(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """lang, grp, start, bin and SUMS of the rows in each bin of distance."""
+    x = [F.col(f"x{i}") for i in range(FEATURES)]
+    met = _met(rows, params)
+    each = F.transform(F.arrays_zip("mu", "inv"), lambda p: _bin(squared(x, p["mu"], p["inv"])))
+    return met.select("lang", "grp", *x, F.posexplode(each).alias("start", "bin")).groupBy("lang", "grp", "start", "bin").agg(*_sums(x))
+
+
+def _medians(rows: DataFrame) -> DataFrame:
+    """grp with medians m and quartile ranges r (in steps of SCALE) of each feature,
+    counted in bins of 20."""
     long = rows.select("grp", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(FEATURES)])).alias("j", "x"))
     counted = long.groupBy("grp", "j", F.floor(F.col("x") / 20).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("grp", "j")
@@ -201,49 +263,114 @@ def _start(rows: DataFrame) -> DataFrame:
     cum = counted.withColumn("cum", F.sum("c").over(run)).withColumn("all", F.sum("c").over(w))
     at = lambda share: F.min(F.when(F.col("cum") >= F.ceil(F.col("all") * share), F.col("bin")))
     found = cum.groupBy("grp", "j").agg(at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"))
+    floors = F.element_at(F.array(*[F.lit((f * SCALE) ** 2) for f in FLOORS]), F.col("j") + 1)
     spread = (F.col("hi") - F.col("lo")) * 20 / 1.349
-    floors = F.array(*[F.lit((f * SCALE) ** 2) for f in FLOORS])
-    found = found.select("grp", "j", (F.col("mid") * 20 + 10.0).alias("m"), (1 / F.sqrt(spread * spread + F.element_at(floors, F.col("j") + 1))).alias("r"))
-    wide = found.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "m", "r"))), lambda x: x).alias("a"))  # five entries
-    inv = [F.col("a")[i]["r"] if i == j else F.lit(0.0) for i in range(FEATURES) for j in range(i + 1)]
-    return wide.select("grp", F.array(*[F.col("a")[i]["m"] for i in range(FEATURES)]).alias("mu"), F.array(*inv).alias("inv"))
+    wide = found.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("j", (F.col("mid") * 20 + 10.0).alias("m"), F.sqrt(spread * spread + floors).alias("r")))).alias("a"))  # five entries
+    return common.stored(wide.select("grp", F.col("a.m").alias("m"), F.col("a.r").alias("r")), "mcd-medians")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Estimates to begin with, gathered: diagonal ones; and those whose correlations
+    are of squashed values, and of directions from the medians."""
+    medians = _medians(rows)
+    z = [(F.col(f"x{i}") - F.col("m")[i]) / F.col("r")[i] for i in range(FEATURES)]
+    size = F.greatest(F.sqrt(sum((v * v for v in z), F.lit(0.0))), F.lit(1e-9))
+    unit = 1 << 12  # as integers, whose sums don't depend on their order
+    values = [[F.round(f(v) * unit).cast("long") for v in z] for f in (F.tanh, lambda v: v / size)]
+    made = [F.struct(F.lit(k + 1).alias("start"), *[c.alias(f"y{i}") for i, c in enumerate(v)]) for k, v in enumerate(values)]
+    y = [F.col(f"y{i}") for i in range(FEATURES)]
+    sums = _met(rows, medians).select("lang", "grp", F.explode(F.array(*made)).alias("e")).select("lang", "grp", "e.*").groupBy("lang", "grp", "start").agg(*_sums(y))
+
+    def solve(v: list, r: dict) -> dict:
+        n, s, q = v[0], v[1 : FEATURES + 1], v[FEATURES + 1 :]
+        cov, k = np.zeros((FEATURES, FEATURES)), 0
+        for i in range(FEATURES):
+            for j in range(i + 1):
+                cov[i, j] = cov[j, i] = (q[k] / n - s[i] * s[j] / (n * n)) / unit**2
+                k += 1
+        root = np.sqrt(np.maximum(np.diag(cov), 1e-6))
+        cor = cov / np.outer(root, root)
+        np.fill_diagonal(cor, 1)
+        cor = 0.95 * cor + 0.05 * np.eye(FEATURES)
+        inv = np.linalg.inv(np.linalg.cholesky(cor * np.outer(r["r"], r["r"])))
+        return {"mu": r["m"], "inv": [float(inv[i, j]) for i in range(FEATURES) for j in range(i + 1)]}
+
+    others = _solved(common.stored(sums.join(medians, "grp"), "mcd-signs"), ESTIMATE, solve)
+    inv = [1 / F.col("r")[i] if i == j else F.lit(0.0) for i in range(FEATURES) for j in range(i + 1)]
+    return _gathered(medians.select("grp", F.lit(0).alias("start"), F.col("m").alias("mu"), F.array(*inv).alias("inv")).unionByName(others))
+
+
+def _least(sums: list, _: dict) -> dict:
+    mu, inv = estimate(sums[0], sums[1 : FEATURES + 1], sums[FEATURES + 1 :])
+    k = [i * (i + 3) // 2 for i in range(FEATURES)]  # the factor's diagonal
+    return {"mu": mu, "inv": inv, "det": -2 * sum(float(np.log(inv[i])) for i in k)}
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """Estimates of each group of rows (grp, x0..): grp, n, mu, inv, unit. unit is
-    what a squared distance is divided by."""
-    params = common.stored(_start(rows), "mcd-start")
+    """Estimates of each group of rows (lang, grp, h, x0..): grp, mu, inv, unit,
+    where unit is what a squared distance is divided by."""
+    params = _starts(rows)
+    before = None
     for _ in range(STEPS):
-        near = rows.join(params, "grp").withColumn("d", _distance())
-        edge = _quantile(near.groupBy("grp", _bin(F.col("d")).alias("bin")).agg(F.count(F.lit(1)).alias("c")), ["grp"], SUBSET, "edge")
-        inside = near.join(edge, "grp").filter(_bin(F.col("d")) <= F.col("edge"))
-        params = common.stored(_params(_moments(inside)), "mcd-step")
-    for last in (False, True):
-        near = rows.join(params, "grp").withColumn("d", _distance())
-        counted = near.groupBy("grp", _bin(F.col("d")).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-        unit = _quantile(counted, ["grp"], 0.5, "edge").select("grp", F.greatest(F.lit(1.0), _edge(F.col("edge")) / CHI2_MEDIAN).alias("unit"))
-        if last:
-            sizes = counted.groupBy("grp").agg(F.sum("c").alias("n"))
-            return common.stored(params.join(unit, "grp").join(sizes, "grp"), "mcd")
-        inside = near.join(unit, "grp").filter(F.col("d") <= F.col("unit") * REWEIGHT)
-        params = common.stored(_params(_moments(inside)), "mcd-step")
-    raise AssertionError
+        table = common.stored(_binned(rows, params), "mcd-bins")
+        inside = common.stored(_added(_within(table, F.col("before") < F.ceil(F.col("all") * SUBSET)), "lang", "grp", "start"), "mcd-inside")
+        state = inside.agg(F.count(F.lit(1)), F.sum(F.xxhash64("grp", "start", *SUMS).cast("decimal(38,0)"))).first()
+        solved = common.stored(_solved(inside, f"{ESTIMATE}, det double", _least), "mcd-step")
+        if state == before:
+            break
+        params, before = _gathered(solved), state
+    best = solved.groupBy("grp").agg(F.min_by(F.struct("mu", "inv"), F.struct("det", "start")).alias("b")).select("grp", F.lit(0).alias("start"), "b.mu", "b.inv")
+    params = _gathered(best)
+    table = common.stored(_binned(rows, params), "mcd-bins")
+    units = _units(table).select("grp", F.expr(f"unit * {REWEIGHT}").alias("most"))
+    near = F.pow(F.lit(2.0), (F.col("bin") + 1) / float(BINS_PER_DOUBLING)) - 2.0**LEAST_LOG <= F.col("most")
+    # the nearest bin stays in any case, so that there is an estimate
+    inside = _within(table.join(units, "grp"), near | (F.col("before") == 0))
+    params = _gathered(_solved(common.stored(_added(inside, "lang", "grp", "start"), "mcd-inside"), ESTIMATE, _estimated))
+    units = _units(common.stored(_binned(rows, params), "mcd-bins"))
+    return common.stored(params.join(units, "grp").select("grp", F.col("mu")[0].alias("mu"), F.col("inv")[0].alias("inv"), "unit"), "mcd")
+
+
+def _units(table: DataFrame) -> DataFrame:
+    """grp, unit: the median squared distance in a group's bins over that of
+    chi-square, blended with those of its language and of all rows; 1 at least."""
+    counted = lambda t, *keys: t.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+
+    def medians(t: DataFrame, key: str, name: str) -> DataFrame:
+        w = Window.partitionBy(key)
+        cum = t.withColumn("c", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
+        median = F.min(F.when(F.col("c") >= F.ceil(F.col("all") / 2), F.col("bin")))
+        size = (F.pow(F.lit(2.0), (median + 1) / float(BINS_PER_DOUBLING)) - 2.0**LEAST_LOG) / CHI2_MEDIAN
+        return cum.groupBy(key).agg(size.alias(name), F.first("all").alias(f"{name}_n"))
+
+    own = medians(counted(table, "grp"), "grp", "own").join(table.select("grp", "lang").distinct(), "grp")
+    by_lang = common.stored(counted(table, "lang"), "mcd-langs")
+    lang = medians(by_lang, "lang", "wide")
+    every = medians(counted(by_lang.withColumn("one", F.lit(1)), "one"), "one", "all").select("all")
+    rest = lang.crossJoin(F.broadcast(every)).select("lang", ((F.col("wide_n") * F.col("wide") + PRIOR_ROWS * F.col("all")) / (F.col("wide_n") + PRIOR_ROWS)).alias("wide"))  # one row
+    unit = (F.col("own_n") * F.col("own") + PRIOR_ROWS * F.col("wide")) / (F.col("own_n") + PRIOR_ROWS)
+    return common.stored(own.join(rest, "lang").select("grp", F.greatest(F.lit(1.0), unit).alias("unit")), "mcd-units")
+
+
+def _grouped(counted: DataFrame) -> DataFrame:
+    """counted with base_failed, grp, h and x0.. (null where the base rules fail)."""
+    rows = counted.withColumn("base_failed", base_failed()).withColumn("grp", F.to_json(F.array("lang", "source"))).withColumn("h", F.xxhash64("__id", "__hash"))
+    return rows.select("*", *[F.when(~F.col("base_failed"), x).alias(f"x{i}") for i, x in enumerate(_features())])
+
+
+def model(counted: DataFrame) -> DataFrame:
+    """The estimates (see fit) of counted rows (a stored table, see counts())."""
+    rows = _grouped(counted).filter(~F.col("base_failed")).select("lang", "grp", "h", *[f"x{i}" for i in range(FEATURES)])
+    return fit(common.stored(rows, "mcd-vectors"))
 
 
 def judge(counted: DataFrame) -> DataFrame:
-    """counted (see counts()) with base_failed, distance (null where nothing is
-    judged) and kept."""
-    rows = counted.withColumn("base_failed", base_failed())
-    vectors = rows.filter(~F.col("base_failed")).select("lang", "source", *_features())
-    groups = F.explode(F.array(F.to_json(F.array("lang", "source")), F.to_json(F.array("lang"))))
-    model = fit(vectors.select(groups.alias("grp"), *[f"x{i}" for i in range(FEATURES)])).filter(F.col("n") >= LEAST_ROWS)
-    own = model.select(F.col("grp").alias("g1"), F.struct("mu", "inv", "unit").alias("own"))
-    wide = model.select(F.col("grp").alias("g2"), F.struct("mu", "inv", "unit").alias("wide"))
-    safe = rows.select("*", *[F.when(~F.col("base_failed"), x).alias(f"x{i}") for i, x in enumerate(_features())])
-    met = safe.join(own, F.to_json(F.array("lang", "source")) == F.col("g1"), "left").join(wide, F.to_json(F.array("lang")) == F.col("g2"), "left")
-    met = met.withColumn("model", F.coalesce("own", "wide")).withColumn("mu", F.col("model.mu")).withColumn("inv", F.col("model.inv"))
-    d = F.when(~F.col("base_failed"), _distance() / F.col("model.unit"))
-    return met.withColumn("distance", d).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))).drop("own", "wide", "model", "mu", "inv", "g1", "g2", *[f"x{i}" for i in range(FEATURES)])
+    """counted (see counts(); a stored table) with base_failed, distance (null where
+    the base rules fail) and kept."""
+    rows, x = _grouped(counted), [F.col(f"x{i}") for i in range(FEATURES)]
+    failed = rows.filter("base_failed").withColumn("distance", F.lit(None).cast("double"))
+    met = _met(rows.filter(~F.col("base_failed")), model(counted)).withColumn("distance", squared(x, F.col("mu"), F.col("inv")) / F.col("unit")).drop("mu", "inv", "unit")
+    return failed.unionByName(met).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= CUTOFF)).drop("grp", "h", *[f"x{i}" for i in range(FEATURES)])
 
 
 def assess(docs: DataFrame) -> DataFrame:
@@ -252,14 +379,17 @@ def assess(docs: DataFrame) -> DataFrame:
 
     A null text has no words and fails the base rules, as do empty ones. Null
     lang or source is a group of its own name, the empty string. Repeated rows
-    give repeated rows, all of which count in the estimates; other columns are
-    ignored; an empty table gives an empty result.
+    give repeated rows, all of which count in the estimates; a text of any length
+    is one row of counts; other columns are ignored; an empty table gives an empty
+    result.
     """
     judged = judge(common.stored(counts(docs), "quality"))
     return judged.select(F.col("__id").alias("doc_id"), *COUNTS, "base_failed", "kept", "distance")
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """Rows of docs that are kept, with docs' own columns."""
+    """Rows of docs that are kept, with docs' own columns. Null and empty texts fail
+    the base rules and go; repeated rows get one decision; an empty table gives an
+    empty one."""
     bad = judge(common.stored(counts(docs), "quality")).filter(~F.col("kept")).select("__id", "__hash").distinct()
     return common.drop_rows(docs, common.stored(bad, "quality-bad"), "doc_id", *[c for c in ("text", "lang", "source") if c in docs.columns])
