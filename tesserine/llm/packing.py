@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-from .tokens import encoder
+from . import common, tokens
 
 WINDOW = 4096
 #: Gaps of fewer ids stay: a piece that small isn't worth a cut.
@@ -122,8 +121,6 @@ def fill_up(windows: list[list[Piece]], window: int = WINDOW, least: int = LEAST
         else:
             out.append(target)
         hi -= 1
-    if lo > hi or not source:
-        pass
     left, room = source, 0
     total = sum(p[2] for p in left)
     piece: list[Piece] = []
@@ -148,7 +145,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, least: int = LEA
     doc_tokens, sequence_id, offset.
 
     Each task packs its rows in shards of about `shard_ids` ids, so nothing is
-    shuffled and memory is bounded. A null or empty text is the end id alone;
+    shuffled and memory is bounded; a text of any length is one document. A null or
+    empty text is the end id alone; a text doc_id that is no number raises;
     null and repeated doc_ids are packed like others, a row at a time; other
     columns are ignored; an empty table has no pieces. Sequence ids are unique,
     with the task's number in the upper bits.
@@ -170,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, least: int = LEA
         return pa.RecordBatch.from_arrays([pa.array(out[c], pa.int64()) for c in columns], names=list(columns)), first + len(windows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(tokenizer), struct.pack("<I", END_ID)
+        coder, end = tokens.encoder(tokenizer), struct.pack("<I", END_ID)
         first = TaskContext.get().partitionId() << 36
         ids: list[bytes] = []
         names: list[int | None] = []
@@ -188,4 +186,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, least: int = LEA
             yield packed(ids, names, first)[0]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+    return rows.mapInArrow(common.given_back(run, tokens.forget), ", ".join(f"{c} long" for c in columns))

@@ -23,13 +23,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
-from .tokens import encoder
+from . import common, tokens
 
 MAGIC = b"TSPLANE1"
 #: Ids of a block; a multiple of 8.
 BLOCK = 1 << 16
 END_ID = 2
+#: Ids and documents after which a task begins a new file, whose table of documents
+#: and chunk index are held until it is closed.
+FILE_IDS, FILE_DOCS = 64 << 20, 1 << 18
 
 
 def to_planes(ids: np.ndarray, kind: str = "bit") -> list[bytes]:
@@ -60,11 +62,13 @@ class Writer:
         self.chunks: list[list] = []
         self.docs: list[int | None] = []
         self.lengths: list[int] = []
+        self.ids = 0
         out.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.docs.append(doc_id)
         self.lengths.append(len(ids) // 4)
+        self.ids += len(ids) // 4
         self.pending.append(ids)
         self.pending_bytes += len(ids)
         if self.pending_bytes >= 4 * self.block:
@@ -87,10 +91,10 @@ class Writer:
         null = np.array([d is None for d in self.docs], np.uint8)
         table = self.press.compress(np.array([d or 0 for d in self.docs], "<i8").tobytes() + np.array(self.lengths, "<u4").tobytes() + null.tobytes())
         self.out.write(table)
-        footer = json.dumps({"kind": self.kind, "block": self.block, "chunks": self.chunks, "docs": len(self.docs), "table": [self.at, len(table)], "ids": sum(self.lengths)}).encode()
+        footer = json.dumps({"kind": self.kind, "block": self.block, "chunks": self.chunks, "docs": len(self.docs), "table": [self.at, len(table)], "ids": self.ids}).encode()
         self.out.write(footer + struct.pack("<Q", len(footer)) + MAGIC)
         self.out.close()
-        return {"n_docs": len(self.docs), "n_ids": sum(self.lengths), "n_bytes": self.at + len(table) + len(footer) + 8 + len(MAGIC)}
+        return {"n_docs": len(self.docs), "n_ids": self.ids, "n_bytes": self.at + len(table) + len(footer) + 8 + len(MAGIC)}
 
 
 class Reader:
@@ -141,13 +145,15 @@ class Reader:
             yield doc, n, take(n)
 
 
-def write(docs: DataFrame, out_dir: str, tokenizer: str, kind: str = "bit", block: int = BLOCK) -> DataFrame:
+def write(docs: DataFrame, out_dir: str, tokenizer: str, kind: str = "bit", block: int = BLOCK, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
     """Writes the ids of all documents (doc_id, text) in ascending doc_id order,
-    and returns the manifest: part, file, n_docs, n_ids, n_bytes, start.
+    and returns the manifest: part, number (of the part's files), file, n_docs,
+    n_ids, n_bytes, start. A file ends after file_ids ids or file_docs documents.
 
     Null texts and empty texts hold the end id alone. Null doc_ids come first;
     rows with one doc_id follow one another in the order of a hash of their
-    text, so repeats are kept. Other columns are ignored. An empty table gives
+    text, so repeats are kept. A text of any length is one document; a text doc_id
+    that is no number raises. Other columns are ignored. An empty table gives
     an empty manifest. Files are named by attempt and only those of the manifest
     count, so a task that runs again does no harm.
     """
@@ -160,20 +166,27 @@ def write(docs: DataFrame, out_dir: str, tokenizer: str, kind: str = "bit", bloc
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        part, writer, uri = context.partitionId(), None, ""
-        coder, end = encoder(tokenizer), struct.pack("<I", END_ID)
+        part, number, writer, uri = context.partitionId(), 0, None, ""
+        coder, end = tokens.encoder(tokenizer), struct.pack("<I", END_ID)
+
+        def closed() -> pa.RecordBatch:
+            done = writer.close()
+            return pa.RecordBatch.from_pydict({"part": [part], "number": [number], "file": [uri], "n_docs": [done["n_docs"]], "n_ids": [done["n_ids"]], "n_bytes": [done["n_bytes"]]})
+
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), coder.encode_many(batch.column(1).to_pylist()), strict=True):
                 if writer is None:
-                    uri = f"{out_dir}/part-{part:06d}-{context.taskAttemptId()}.planes"
+                    uri = f"{out_dir}/part-{part:06d}-{number:05d}-{context.taskAttemptId()}.planes"
                     writer = Writer(common.open_output(uri), kind, block)
                 writer.add(doc, ids.tobytes() + end)
+                if writer.ids >= file_ids or len(writer.docs) >= file_docs:
+                    yield closed()
+                    number, writer = number + 1, None
         if writer is not None:
-            done = writer.close()
-            yield pa.RecordBatch.from_pydict({"part": [part], "file": [uri], "n_docs": [done["n_docs"]], "n_ids": [done["n_ids"]], "n_bytes": [done["n_bytes"]]})
+            yield closed()
 
-    manifest = common.stored(dealt.mapInArrow(run, "part long, file string, n_docs long, n_ids long, n_bytes long"), "planes-manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    manifest = common.stored(dealt.mapInArrow(common.given_back(run, tokens.forget), "part long, number long, file string, n_docs long, n_ids long, n_bytes long"), "planes-manifest")
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
 

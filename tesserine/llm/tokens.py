@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 #: Entries of the cache, the longest run that it keeps, and the characters of the
 #: texts that are encoded together.
-CACHE_WORDS, CACHE_CHARS, GROUP_CHARS = 400_000, 48, 8 << 20
+CACHE_WORDS, CACHE_CHARS, GROUP_CHARS = 200_000, 48, 4 << 20
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
@@ -56,6 +56,7 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.size = size
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -70,22 +71,25 @@ class Encoder:
     def _of(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words, from the cache or the tokenizer."""
         known, match = self.known, _SIMPLE.fullmatch
-        out = [known.get(w) for w in words]
-        fresh: list[tuple[int, str, str]] = []
-        for i, ids in enumerate(out):
-            if ids is None:
-                w = words[i]
-                if m := match(w):
-                    fresh.append((i, m[1].lower(), m[2]))
+        out = list(map(known.get, words))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        if self.older:
+            for i, ids in zip(new, map(self.older.get, [words[i] for i in new]), strict=True):
+                out[i] = ids
+        split: list[tuple[int, str, str]] = []
+        for i in new:
+            if out[i] is None:
+                if m := match(words[i]):
+                    split.append((i, m[1].lower(), m[2]))
                 else:
-                    out[i] = self.whole(w)
-        letters = self._letters(list({p[1] for p in fresh})) if fresh else {}
-        marks = {m: self.whole(m) for m in {p[2] for p in fresh}}
-        for i, run, mark in fresh:
+                    out[i] = self.whole(words[i])
+        letters = self._letters(list({p[1] for p in split})) if split else {}
+        marks = {m: self.whole(m) for m in {p[2] for p in split}}
+        for i, run, mark in split:
             out[i] = letters[run] + marks[mark]
-        if len(known) > self.size:
-            known.clear()
-        known.update((w, ids) for w, ids in zip(words, out, strict=True) if len(w) <= CACHE_CHARS)
+        known.update((words[i], out[i]) for i in new if len(words[i]) <= CACHE_CHARS)
+        if 2 * len(known) > self.size:  # what is used goes on to the next generation
+            self.older, self.known = known, {}
         return out
 
     def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -125,6 +129,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """Drops the encoders of this process; the next one is read anew."""
+    encoder.cache_clear()
+
+
 def default_path() -> str:
     import public_tokenizers
 

@@ -56,3 +56,17 @@ def test_round_trip_equals_the_tokenizer(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in rows) == sorted(digest(d, i) for d, i in want)
     empty = token_planes.write(no_docs(spark), common.scratch(spark, "test"), tokens.default_path())
     assert token_planes.read(spark, empty).count() == 0
+
+
+def test_files_end_after_a_bounded_number_of_ids(spark):
+    docs = edge_docs(spark).repartition(2)
+
+    def written(**bounds):
+        manifest = token_planes.write(docs, common.scratch(spark, "test"), tokens.default_path(), **bounds)
+        return manifest.collect(), sorted(map(tuple, token_planes.read(spark, manifest).collect()), key=str)
+
+    whole = written()[1]
+    for bounds in ({"file_ids": 500}, {"file_docs": 2}):
+        files, rows = written(**bounds)
+        assert rows == whole and len(files) > 4
+        assert all(f.n_docs <= 2 for f in files) or "file_ids" in bounds
