@@ -14,11 +14,14 @@ those of the text so normalized.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -30,8 +33,8 @@ CHARS_PER_EDIT = 12
 #: Items with fewer characters bear no edits: they are found where they stand exactly,
 #: with no letter or digit running on at either end.
 LEAST_CHARS = 24
-#: Characters of benchmark items that are indexed and broadcast at once; a larger
-#: benchmark goes over the documents in several blocks.
+#: Characters of benchmark items that are indexed and broadcast at once; for a larger
+#: benchmark the documents are gone over once for each block.
 BLOCK_CHARS = 2 << 20
 #: Characters of a text whose shared q-grams are counted at once where they are very
 #: many, and how many are very many.
@@ -165,7 +168,7 @@ class Index:
             k, pattern = int(self.edits[w]), self.texts[w]
             s, e = max(0, lo - k), min(len(points), hi + len(pattern) + k)
             exact = t.find(self.strings[w], s, e)
-            found = (0, exact, exact + len(pattern)) if exact >= 0 else align(pattern, points[s:e], k, s)
+            found = (0, exact, exact + len(pattern)) if exact >= 0 else align(pattern, points, k, lo - k, hi + k)
             if found is not None and ((w, found[2]) not in best or found < best[w, found[2]]):
                 best[w, found[2]] = found
         once: dict[int, tuple[int, int, int]] = {}
@@ -187,34 +190,43 @@ class Index:
         return out
 
 
-def align(pattern: np.ndarray, region: np.ndarray, k: int, offset: int = 0) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the part of region nearest to pattern, if within k
-    edits; of equal ones the first to end. A column of the region is a step; the
-    region is a band of diagonals, so a row is as wide as the band."""
-    m, n = len(pattern), len(region)
-    if n < m - k:
+def align(pattern: np.ndarray, points: np.ndarray, k: int, lo: int | None = None, hi: int | None = None) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the part of points nearest to pattern, if within k
+    edits and on diagonals lo..hi (all, if none are given); of equal ones the first
+    to end. A row of the pattern is a step over the band's diagonals: on diagonal d,
+    i characters of the pattern end at place i + d."""
+    m, n = len(pattern), len(points)
+    lo = -k if lo is None else max(lo, -k)
+    hi = n - m + k if hi is None else min(hi, n - m + k)
+    if hi < lo:
         return None
-    steps = np.arange(n + 1)
-    row = np.zeros(n + 1, np.int64)
-    begin = steps.copy()
+    width = hi - lo + 1
+    steps = np.arange(width)
+    text = np.full(width + m, -1, np.int64)  # the band's places from lo on; -1 outside the text
+    a, b = max(lo, 0), min(n, hi + m)
+    if b > a:
+        text[a - lo : b - lo] = points[a:b]
+    far = m + n + k + 2
+    begin = lo + steps
+    row = np.where((begin >= 0) & (begin <= n), 0, far)
     for i in range(1, m + 1):
-        sub = row[:-1] + (region != pattern[i - 1])
-        take = row[1:] + 1
-        cost = np.empty(n + 1, np.int64)
-        origin = np.empty(n + 1, np.int64)
-        cost[0], origin[0] = i, begin[0]
-        down = sub <= take
-        cost[1:] = np.where(down, sub, take)
-        origin[1:] = np.where(down, begin[:-1], begin[1:])
-        # an insertion moves along the row: the least cost - place so far
-        key = (cost - steps) * (n + 2) + steps
-        low = np.minimum.accumulate(key)
-        at = low % (n + 2)
+        along = text[i - 1 : i - 1 + width]
+        cost = np.where(along < 0, far, row + (along != pattern[i - 1]))
+        # leaving out a character of the pattern comes from the next diagonal
+        less = row[1:] + 1 < cost[:-1]
+        cost[:-1] = np.where(less, row[1:] + 1, cost[:-1])
+        origin = begin.copy()
+        origin[:-1] = np.where(less, begin[1:], begin[:-1])
+        # one put in moves along the row: the least cost - place so far
+        low = np.minimum.accumulate((cost - steps) * width + steps)
+        at = low % width
         row, begin = cost[at] + steps - at, origin[at]
         if row.min() > k:
             return None
+    ends = m + lo + steps
+    row = np.where((ends >= 0) & (ends <= n), row, far)
     e = int(row.argmin())
-    return (int(row[e]), int(begin[e]) + offset, e + offset) if row[e] <= k else None
+    return (int(row[e]), int(begin[e]), int(ends[e])) if row[e] <= k else None
 
 
 def blocks(benchmark: DataFrame) -> Iterable[list[Row]]:
@@ -229,25 +241,31 @@ def blocks(benchmark: DataFrame) -> Iterable[list[Row]]:
 FOUND = "item_id long, windows int, edits int, start long, end long"
 
 
+def _shared(spark: SparkSession, block: list[Row]):
+    return spark.sparkContext.broadcast(Index.build([(r[0], r[1]) for r in block]))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, windows (of the item's, found), edits (least), start, end (in
     the normalized text) for each document and item that meet.
 
     Null and empty texts match nothing; items under LEAST_CHARS characters match
-    exactly only, as one window.
+    exactly only, as one window. A text of any length is searched whole. Of equally
+    near places the first to end is reported.
     Repeated documents give repeated rows, a repeated row of the benchmark counts
     once; null ids are carried; other columns are ignored; an empty table on either
-    side gives an empty result.
+    side gives an empty result. Of several blocks each has its pass, whose result is
+    written before the next begins, so that workers hold one index at a time.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    out = spark.createDataFrame([], f"doc_id {kind}, {FOUND}")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    common.bounded_batches(spark)
-    for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Index.build([(r[0], r[1]) for r in block]))
+    made: list[DataFrame] = []
+
+    def one(block: list[Row]) -> DataFrame:
+        shared = _shared(spark, block)
 
-        def run(c: dict[str, list], shared=shared) -> dict[str, list]:
+        def run(c: dict[str, list]) -> dict[str, list]:
             index = shared.value
             out: dict[str, list] = {n: [] for n in ("doc_id", "item_id", "windows", "edits", "start", "end")}
             for doc, text in zip(c["doc_id"], c["text"], strict=True):
@@ -256,23 +274,50 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         out[n].append(v)
             return out
 
-        out = out.union(common.map_rows(rows, f"doc_id {kind}, {FOUND}", run))
-    return out
+        return common.map_rows(rows, f"doc_id {kind}, {FOUND}", run)
 
+    for last, block in _last(blocks(benchmark)):
+        made.append(one(block) if last and not made else common.stored(one(block), "decontam-block"))
+    return reduce(DataFrame.union, made) if made else spark.createDataFrame([], f"doc_id {kind}, {FOUND}")
 
-def filtered(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of docs that match no item, with docs' own columns."""
-    import pyarrow as pa
 
-    text = docs.columns.index("text")
-    common.bounded_batches(docs.sparkSession)
-    for block in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(Index.build([(r[0], r[1]) for r in block]))
+def _last(items: Iterable) -> Iterator[tuple[bool, Any]]:
+    """Each item with whether it is the last."""
+    held: list = []
+    for x in items:
+        if held:
+            yield False, held.pop()
+        held.append(x)
+    if held:
+        yield True, held.pop()
 
-        def run(batches, shared=shared):
-            for batch in batches:
-                keep = [not shared.value.matches(t or "") for t in batch.column(text).cast(pa.string()).to_pylist()]
-                yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def filtered(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows of docs that match no item, with docs' own columns. Null and empty texts
+    match nothing and stay; repeated rows get one decision; without an item all
+    rows stay. With several blocks, the rows of each block's pass are written and
+    dropped together."""
+    spark, text = docs.sparkSession, docs.columns.index("text")
+    common.bounded_batches(spark)
+    gone: list[DataFrame] = []
+    for last, block in _last(blocks(benchmark)):
+        shared = _shared(spark, block)
+        if last and not gone:
+
+            def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    keep = [not shared.value.matches(t or "") for t in batch.column(text).cast(pa.string()).to_pylist()]
+                    yield batch.filter(pa.array(keep, pa.bool_()))
+
+            return docs.mapInArrow(common.given_back(run), docs.schema)
+        kind = dict(docs.dtypes)["doc_id"]
+
+        def found(c: dict[str, list], shared=shared) -> dict[str, list]:
+            hit = [i for i, t in enumerate(c["__text"]) if shared.value.matches(t or "")]
+            return {n: [c[n][i] for i in hit] for n in ("__id", "__hash")}
+
+        rows = docs.select(*common.row_key("doc_id", "text"), F.col("text").cast("string").alias("__text"))
+        gone.append(common.stored(common.map_rows(rows, f"__id {kind}, __hash long", found).distinct(), "decontam-block"))
+    if not gone:
+        return docs
+    return common.drop_rows(docs, common.stored(reduce(DataFrame.union, gone).distinct(), "decontam-gone"), "doc_id", "text")

@@ -102,6 +102,43 @@ def test_query_and_filter(spark):
         decontam.BLOCK_CHARS = old
 
 
+def test_bands_find_what_the_whole_text_gives():
+    rng = random.Random(8)
+    for trial in range(40):
+        pattern, k = prose(trial, 12)[:60], rng.randrange(6)
+        text = prose(trial + 50, 30) + edited(rng, pattern, rng.randrange(k + 1)) + prose(trial + 90, 30)
+        whole = decontam.align(decontam.code_points(pattern), decontam.code_points(text), k)
+        assert whole is not None and whole[0] == slow_align(pattern, text)
+        d = whole[1] + rng.randrange(-k, k + 1)
+        band = decontam.align(decontam.code_points(pattern), decontam.code_points(text), k, d - 2 * k, d + 2 * k)
+        assert band[0] == whole[0] and band[2] == whole[2]
+    far = decontam.align(decontam.code_points("abcdef"), decontam.code_points("x" * 20 + "abcdef"), 1, 0, 3)
+    assert far is None and decontam.align(decontam.code_points("abcdef"), decontam.code_points("abc"), 1) is None
+
+
+def test_query_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(i, prose(300 + i, 9 + i)) for i in range(5)] + [(9, "Who, me?")]
+    docs = []
+    for d in range(24):
+        name, item = items[d % len(items)]
+        cut = item[rng.randrange(max(1, len(item) - 70)) :][: rng.randrange(40, 90)]
+        docs.append((d, f"{prose(400 + d, 6)} {edited(rng, cut, d % 7)} {prose(500 + d, 6)}" if d % 4 else prose(600 + d, 20)))
+    want = set()
+    index = decontam.Index.build(items)
+    for d, text in docs:
+        t = decontam.normalized(text)
+        want |= {(d, index.items[o]) for o, w, k in zip(index.owner.tolist(), index.strings, index.edits.tolist(), strict=True) if slow_align(w, t) <= k}
+        want |= {(d, 9)} if " who, me?" in t else set()
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert 5 < len(want) < 24
+    for size in (decontam.BLOCK_CHARS, 100):  # in one block and in several
+        monkeypatch.setattr(decontam, "BLOCK_CHARS", size)
+        assert {(r.doc_id, r.item_id) for r in decontam.matches(documents, bench).collect()} == want
+        assert {r.doc_id for r in decontam.filtered(documents, bench).collect()} == set(range(24)) - {d for d, _ in want}
+
+
 def test_edge_rows(spark):
     docs, bench = edge_docs(spark), spark.createDataFrame([(1, prose(99, 40))], "item_id long, text string")
     none = bench.limit(0)
