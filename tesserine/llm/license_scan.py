@@ -2,15 +2,18 @@
 
 Templates are word sequences. Hashes of a few words in a row are winnowed (the
 least in each run of neighbours stays), and an inverted index leads from such a
-fingerprint to the templates and places that have it. In a text, shared
-fingerprints on neighbouring diagonals make a candidate region; a banded alignment
-of the template with that region reports how much of the template is there, and
-where. The index is as large as the templates, whatever the documents.
+fingerprint to the templates and places that have it. Of short templates every
+hash is indexed, of as many words as must still stand in a row when the fewest
+words that count as covered are left. In a text, shared fingerprints on
+neighbouring diagonals make a candidate region; a banded alignment of the template
+with that region reports how much of the template is there, and where. Of regions
+of one template that overlap, the best covered stays. The index is as large as the
+templates, whatever the documents.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -21,12 +24,16 @@ from pyspark.sql import functions as F
 from . import common
 
 GRAM, NEIGHBOURS = 3, 2
+#: Templates of fewer words have all their grams indexed.
+WINNOWED_FROM = 20
 #: Words that may be put in or left out before an alignment leaves its band, as a
 #: share of the template, and at least.
 BAND_SHARE, LEAST_BAND = 0.15, 3
 LEAST_COVERAGE = 0.8
 
+#: Wordings of notices and licences, as published.
 TEMPLATES: dict[str, str] = {
+    "all-rights-reserved": "All rights reserved.",
     "apache-2.0-mention": "Licensed under the Apache License, Version 2.0",
     "mit-mention": "Released under the MIT License",
     "gpl-3.0-mention": "This work is licensed under the GNU General Public License, version 3",
@@ -55,6 +62,17 @@ WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
 following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
 following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
 following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "bsd-3-clause": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "apache-2.0-grant": """Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide,
+non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display,
+publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.""",
+    "lgpl-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
     "gpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
 Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
@@ -73,71 +91,89 @@ def words(text: bytes) -> list[bytes]:
     return [w for w in (x.strip(_EDGE) for x in text.lower().split()) if w]
 
 
+def gram_words(m: int) -> int:
+    """Words that stand in a row, at least, where a template of m words has lost as
+    many as it may; GRAM at most."""
+    need = math.ceil(LEAST_COVERAGE * m)
+    return max(1, min(GRAM, -(-need // (m - need + 1))))
+
+
 @dataclass
 class Index:
     names: list[str]
     sequences: list[np.ndarray]  # word ids of each template, from 1
     vocabulary: dict[bytes, int]
-    postings: dict[int, list[tuple[int, int]]]  # fingerprint: template, place
-    hashes: np.ndarray
+    postings: dict[int, dict[int, list[tuple[int, int]]]]  # by gram size: fingerprint to templates and places
+    hashes: dict[int, np.ndarray]
 
     @staticmethod
     def build(templates: dict[str, str]) -> Index:
         vocabulary: dict[bytes, int] = {}
-        names, sequences, postings = [], [], defaultdict(list)
+        names, sequences, postings = [], [], defaultdict(lambda: defaultdict(list))
         for name, text in templates.items():
             ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text.encode())], np.int64)
             if len(ids) < GRAM:
                 raise ValueError(f"template {name!r} has fewer than {GRAM} words")
-            h = grams(ids)
-            for p in winnowed(h, NEIGHBOURS):
-                postings[int(h[p])].append((len(names), p))
+            size = gram_words(len(ids))
+            h = grams(ids, size)
+            for p in winnowed(h, NEIGHBOURS) if len(ids) >= WINNOWED_FROM else range(len(h)):
+                postings[size][int(h[p])].append((len(names), p))
             names.append(name)
             sequences.append(ids)
-        return Index(names, sequences, vocabulary, dict(postings), np.array(sorted(postings), np.int64))
+        return Index(names, sequences, vocabulary, {n: dict(p) for n, p in postings.items()}, {n: np.array(sorted(p), np.int64) for n, p in postings.items()})
 
-    def scan(self, text: bytes) -> list[tuple[str, float, int, int, int, int]]:
-        """(template, coverage, words matched, and the span's first and last word and
-        number of words) of each region of a text that a template covers."""
+    def ids(self, text: bytes) -> np.ndarray:
+        """Word ids of a text by white-space-separated word; 0 for unknown ones."""
         split = text.lower().split()
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in split), np.int64, len(split))
-        odd = np.flatnonzero(ids < 0).tolist()
-        for i in odd:
+        for i in np.flatnonzero(ids < 0).tolist():
             ids[i] = get(split[i].strip(_EDGE), 0)
-        if len(ids) < GRAM:
-            return []
-        h = grams(ids)
-        at = np.flatnonzero(np.isin(h, self.hashes) & (ids[: len(h)] > 0))
-        regions: dict[int, list[int]] = defaultdict(list)
-        for p in at.tolist():
-            for t, place in self.postings[int(h[p])]:
-                regions[t].append(p - place)
+        return ids
+
+    def scan(self, text: bytes) -> list[tuple[str, float, int, int, int, int]]:
+        """(template, coverage, words matched, and the span's first and last word and
+        number of words) of each region of a text that a template covers."""
+        ids = self.ids(text)
+        regions: dict[int, set[int]] = defaultdict(set)
+        for size, hashes in self.hashes.items():
+            h = grams(ids, size)
+            for p in np.flatnonzero(np.isin(h, hashes)).tolist():
+                for t, place in self.postings[size][int(h[p])]:
+                    regions[t].add(p - place)
         out = []
         for t, diagonals in regions.items():
             pattern = self.sequences[t]
-            band = max(LEAST_BAND, int(BAND_SHARE * len(pattern)))
-            diagonals.sort()
-            group = [diagonals[0]]
-            found: list[tuple[str, float, int, int, int, int]] = []
-            for d in [*diagonals[1:], None]:
-                if d is not None and d - group[0] <= band:
-                    group.append(d)
-                    continue
-                best = align(pattern, ids, group[0] - band, group[-1] + band)
-                if best is not None and best[0] >= LEAST_COVERAGE * len(pattern) and not (found and best[1] <= found[-1][4]):
-                    found.append((self.names[t], best[0] / len(pattern), best[0], best[1], best[2], best[2] - best[1] + 1))
+            band = band_of(len(pattern))
+            found = []
+            group: list[int] = []
+            for d in [*sorted(diagonals), None]:
+                if group and (d is None or d - group[0] > band):
+                    best = align(pattern, ids, group[0] - band, group[-1] + band)
+                    if best is not None and best[0] >= LEAST_COVERAGE * len(pattern):
+                        found.append(best)
+                    group = []
                 if d is not None:
-                    group = [d]
-            out += found
+                    group.append(d)
+            # the best covered first, then the shortest, then the first
+            taken: list[tuple[int, int, int]] = []
+            for n, first, last in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+                if all(last < a or first > b for _, a, b in taken):
+                    taken.append((n, first, last))
+            out += [(self.names[t], n / len(pattern), n, first, last, last - first + 1) for n, first, last in taken]
         return sorted(out, key=lambda x: (x[3], x[0]))
 
 
-def grams(ids: np.ndarray) -> np.ndarray:
-    """Hashes of GRAM words in a row, by place; exact for 2^21 words."""
-    n = len(ids) - GRAM + 1
+def band_of(m: int) -> int:
+    """Diagonals on either side of a fingerprint's that an alignment may use."""
+    return max(LEAST_BAND, int(BAND_SHARE * m))
+
+
+def grams(ids: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """Hashes of `size` words in a row, by place; exact for 2^21 words."""
+    n = max(0, len(ids) - size + 1)
     h = np.zeros(n, np.int64)
-    for j in range(GRAM):
+    for j in range(size):
         h = (h << 21) | ids[j : j + n]
     return h
 
@@ -151,30 +187,34 @@ def winnowed(h: np.ndarray, neighbours: int) -> list[int]:
 
 def align(pattern: np.ndarray, ids: np.ndarray, lo: int, hi: int) -> tuple[int, int, int] | None:
     """Words of pattern in order within ids, on diagonals lo..hi: (matched, first
-    place, last place); of equal ones the shortest, then the first."""
-    width = hi - lo + 1
-    # row of the band: best (matched, -span so far, first place) by diagonal
-    best: list[tuple[int, int]] = [(0, -1)] * width
-    ends: list[int] = [-1] * width
-    n = len(ids)
-    for i, w in enumerate(pattern.tolist()):
-        new, last = list(best), list(ends)
-        # leaving out a template word goes one diagonal down
-        for d in range(width - 1):
-            if best[d + 1][0] > new[d][0]:
-                new[d], last[d] = best[d + 1], ends[d + 1]
-        for d in range(width):
-            p = i + lo + d
-            if 0 <= p < n and ids[p] == w:
-                m, first = best[d]
-                if ends[d] < p and m + 1 > new[d][0]:
-                    new[d], last[d] = (m + 1, p if first < 0 else first), p
-            # words put into the text go one diagonal up
-            if d and new[d - 1][0] > new[d][0]:
-                new[d], last[d] = new[d - 1], last[d - 1]
-        best, ends = new, last
-    top = max(range(width), key=lambda d: (best[d][0], -(ends[d] - best[d][1]), -best[d][1]))
-    return (best[top][0], best[top][1], ends[top]) if best[top][0] else None
+    place, last place), with the most matched; of equal ones that which begins
+    latest, then ends first. A word of the pattern is a step over the band."""
+    m, width = len(pattern), hi - lo + 1
+    steps = np.arange(width)
+    text = np.zeros(width + m, np.int64)  # the band's places from lo on; 0 outside the text
+    a, b = max(lo, 0), min(len(ids), hi + m)
+    if b > a:
+        text[a - lo : b - lo] = ids[a:b]
+    size = width + m + 1
+    state = np.zeros(width, np.int64)  # matched * size + (first place - lo + 1)
+    ends = np.full(width, -1, np.int64)
+    for i in range(m):
+        hit = text[i : i + width] == pattern[i]
+        fresh = np.where(state > 0, state + size, size + i + steps + 1)
+        new, last = np.where(hit, fresh, state), np.where(hit, i + steps, ends)
+        # a word of the pattern left out comes from the next diagonal
+        more = state[1:] > new[:-1]
+        new[:-1] = np.where(more, state[1:], new[:-1])
+        last[:-1] = np.where(more, ends[1:], last[:-1])
+        # words put into the text go along the band: the best so far, the first of equals
+        key = np.maximum.accumulate(new * width + (width - 1 - steps))
+        at = width - 1 - key % width
+        state, ends = key // width, last[at]
+    top = max(range(width), key=lambda d: (state[d], -ends[d]))
+    if not state[top]:
+        return None
+    matched, first = divmod(int(state[top]), size)
+    return matched, first - 1 + lo, int(ends[top]) + lo
 
 
 FOUND = "license string, coverage double, matched int, first_word long, last_word long, span_words long"
@@ -185,8 +225,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     last_word (places among white-space-separated words, from 0), span_words, for
     each region of a document that a template covers to LEAST_COVERAGE or more.
 
-    Null and empty texts have none; null doc_ids are carried; repeated rows give
-    repeated rows; other columns are ignored; an empty table has no regions.
+    Null and empty texts have none; a text of any length is scanned whole. Of regions
+    of one template that overlap, the best covered stays, of equal ones the shortest,
+    then the first; regions of different templates may overlap. Null doc_ids are
+    carried; repeated rows give repeated rows; other columns are ignored; an empty
+    table has no regions.
     """
     kind = dict(docs.dtypes)["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(Index.build(templates or TEMPLATES))
