@@ -3,7 +3,7 @@
 A tokenizer and a tree builder with implied tags (an opening block ends a
 paragraph, a row ends a cell, and so on) feed a renderer as they go: only the
 stack of open elements and the tables being laid out are kept. Visibility rules
-drop what a browser wouldn't show. Blocks are set apart by line ends, paragraphs by
+over parsed attributes drop what a browser wouldn't show. Blocks are set apart by line ends, paragraphs by
 an empty line, list items get markers and indents, and cells of a table are
 aligned in columns; preformatted text stays as it is.
 """
@@ -21,7 +21,7 @@ from . import common
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head script style template noscript noframes noembed iframe object math canvas audio video datalist title textarea desc defs metadata symbol".split())
+HIDDEN = frozenset("head script style template noscript noframes noembed iframe object math canvas audio video datalist title desc defs metadata symbol".split())
 PARAGRAPH = frozenset("p blockquote dl fieldset figure form h1 h2 h3 h4 h5 h6 hr ol pre table ul".split())
 BLOCK = PARAGRAPH | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer header hgroup html legend li main menu nav section summary tbody td tfoot th thead tr".split())
 #: An opening tag ends these open elements, up to a barrier.
@@ -34,10 +34,15 @@ ENDS = {
 P_ENDERS = (BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "li", "dt", "dd"}) | {"li", "dt", "dd"}
 IN_HEAD = frozenset("base link meta title style script template noscript head html".split())
 SCOPE = frozenset("td th table caption html template button object".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-_MAY_HIDE = re.compile("hidden|style", re.I)
-_STYLE_HIDES = re.compile(r"(?:^|[;\s/])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
+#: An attribute: a quote opens a value only after =, and one that isn't closed is a
+#: part of a name, so that the tag ends at the next >.
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))?)?")
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?)?)*+)(?:>|\Z)|</[^>]*>",
+    re.S,
+)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -92,69 +97,115 @@ class Layout:
 
 class Table:
     def __init__(self) -> None:
-        self.rows: list[list[tuple[str, int]]] = []
+        self.rows: list[list[tuple[str, int, int]]] = []  # cells: text, columns, rows
         self.captions: list[str] = []
 
+    def placed(self) -> list[list[tuple[int, str, int]]]:
+        """Cells by row as (column, text, columns); a cell of several rows keeps its
+        columns in the rows below."""
+        taken: dict[int, int] = {}  # column: rows below that it is still taken in
+        out = []
+        for r in self.rows:
+            at, row = 0, []
+            held = dict(taken)
+            for text, columns, rows in r:
+                while held.get(at, 0) > 0:
+                    at += 1
+                row.append((at, text, columns))
+                if rows > 1:
+                    taken.update((at + i, rows) for i in range(columns))
+                at += columns
+            taken = {c: n - 1 for c, n in taken.items() if n > 1}
+            out.append(row)
+        return out
+
     def render(self) -> str:
         """Rows with columns of one width; cells of one line are padded, and a row
         with cells of several lines is set one under another."""
-        rows = [[(" ".join(c.split("\n")) if c.count("\n") < 1 else c, s) for c, s in r] for r in self.rows if any(c for c, _ in r)]
+        rows = [r for r in self.placed() if any(c for _, c, _ in r)]
         widths: dict[int, int] = {}
         for r in rows:
-            at = 0
-            for c, s in r:
+            for at, c, s in r:
                 if s == 1 and "\n" not in c:
                     widths[at] = max(widths.get(at, 0), len(c))
-                at += s
         lines = list(self.captions)
         for r in rows:
-            if any("\n" in c for c, _ in r) or (len(r) == 1 and len(rows) == 1):
-                lines += [c for c, _ in r if c]
+            if any("\n" in c for _, c, _ in r) or (len(r) == 1 and len(rows) == 1):
+                lines += [c for _, c, _ in r if c]
                 continue
             at, out = 0, []
-            for c, s in r:
-                width = sum(widths.get(at + i, 0) for i in range(s)) + 2 * (s - 1)
+            for column, c, s in r:
+                out += [" " * widths.get(i, 0) for i in range(at, column)]
+                width = sum(widths.get(column + i, 0) for i in range(s)) + 2 * (s - 1)
                 out.append(c.ljust(width))
-                at += s
+                at = column + s
             lines.append("  ".join(out).rstrip())
         return "\n".join(lines)
 
 
-def _span(attributes: str) -> int:
-    m = re.search(r"colspan\s*=\s*[\"']?(\d{1,4})", attributes, re.I)
-    return min(1000, max(1, int(m[1]))) if m else 1
+def _count(attributes: dict[str, str], name: str, most: int = 1000) -> int:
+    """A count of columns or rows, within the standard's bounds."""
+    m = re.match(r"\s*\+?(\d{1,9})", attributes.get(name, ""))
+    return min(most, max(1, int(m[1]))) if m else 1
 
 
 def _attributes(source: str) -> dict[str, str]:
     """Values by name in lower case; of a repeated name the first counts."""
     out: dict[str, str] = {}
-    for m in _ATTRIBUTE.finditer(source):
-        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    if source and not source.isspace():
+        for m in _ATTRIBUTE.finditer(source):
+            out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
     return out
 
 
-def _hides(name: str, attributes: str) -> bool:
-    if name in HIDDEN or (name == "option" and "selected" not in _attributes(attributes)):
+def _styles(a: dict[str, str]) -> dict[str, str]:
+    """display and visibility of a style attribute; the last counts."""
+    return {m[1].lower(): m[2].lower() for m in _STYLE.finditer(a["style"])} if "style" in a else {}
+
+
+def _hides(name: str, a: dict[str, str], assistive: bool) -> bool:
+    """Whether an element is left out with all that is in it."""
+    if name in HIDDEN or "hidden" in a:
         return True
-    if not _MAY_HIDE.search(attributes):
-        return False
-    a = _attributes(attributes)
-    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(_STYLE_HIDES.search(a.get("style", "")))
+    if assistive and (name == "textarea" or (name == "option" and "selected" not in a) or a.get("aria-hidden", "").lower() == "true"):
+        return True
+    return _styles(a).get("display") == "none"
+
 
+_SELECT = re.compile(r"</?select(?=[\s/>])", re.I)
 
-def render(source: str) -> str:
-    """The visible text of an HTML document or fragment."""
+
+def _chosen(source: str, at: int) -> bool:
+    """Whether one of the options of the select that begins at a place is marked as
+    selected."""
+    end = _SELECT.search(source, at)
+    stop = end.start() if end else len(source)
+    return any(m[2] and not m[1] and m[2].lower() == "option" and "selected" in _attributes(m[3]) for m in _TOKEN.finditer(source, at, stop))
+
+
+def render(source: str, assistive: bool = True) -> str:
+    """The visible text of an HTML document or fragment.
+
+    With assistive, as a screen reader has it: without what aria-hidden=true takes
+    away, without what stands in text areas, and of options only those marked as
+    selected. Otherwise as on the screen: aria-hidden takes nothing away, text areas
+    show their text, a list of several lines all its options, and a drop-down list
+    the selected option or else the first. Text behind a closed <details> counts as
+    visible.
+    """
     top = Layout()
     flows = [top]
-    stack: list[list] = []  # name, hidden, closing action
+    stack: list[list] = []  # name, hidden, closing action, visibility outside
     tables: list[Table] = []
     lists: list[list] = []  # ordered, number
     hidden = pre = 0
+    visible = True  # by the inherited property visibility
+    options = ""  # of the open select: all, selected, first
     opened: Counter[str] = Counter()
 
     def close(entry: list) -> None:
-        nonlocal hidden, pre
-        name, hid, cell = entry
+        nonlocal hidden, pre, visible
+        name, hid, cell, visible = entry
         opened[name] -= 1
         hidden -= hid
         flow = flows[-1]
@@ -165,7 +216,7 @@ def render(source: str) -> str:
             else:
                 if not tables[-1].rows:
                     tables[-1].rows.append([])
-                tables[-1].rows[-1].append((done, cell))
+                tables[-1].rows[-1].append((done, *cell))
             return
         if name == "table" and cell is not None:
             text = tables.pop().render()
@@ -204,7 +255,7 @@ def render(source: str) -> str:
         return -1
 
     def say(value: str) -> None:
-        if hidden or not value:
+        if hidden or not value or not visible:
             return
         if stack and stack[-1][0] in ("table", "tr", "tbody", "thead", "tfoot", "colgroup") and not value.strip():
             return
@@ -253,10 +304,11 @@ def render(source: str) -> str:
                         entry = stack.pop(i)
                         opened[entry[0]] -= 1
                         hidden -= entry[1]
+                        visible = entry[3]
                     else:
                         pop_to(i)
             continue
-        attributes = m[3] or ""
+        a = _attributes(m[3])
         if name not in IN_HEAD and stack and stack[-1][0] == "head":
             pop_to(len(stack) - 1)
         if name in P_ENDERS and (i := find(("p",), SCOPE)) >= 0:
@@ -266,23 +318,30 @@ def render(source: str) -> str:
             while (i := find(names, barrier)) >= 0:
                 pop_to(i)
         flow = flows[-1]
-        hides = _hides(name, attributes)
+        hides = _hides(name, a, assistive)
+        shown = {"hidden": False, "collapse": False, "visible": True}.get(_styles(a).get("visibility", ""), visible)
+        if name == "select":
+            options = "all" if "multiple" in a or _count(a, "size") > 1 else "selected" if _chosen(source, at) else "first"
+        elif name == "option" and not assistive and opened["select"]:
+            hides = hides or options == "none" or (options == "selected" and "selected" not in a)
+            options = "none" if options == "first" else options
         if name in VOID:
             if not hidden and not hides:
                 if name == "br":
                     flow.line()
                 elif name == "hr":
                     flow.block(2)
-                elif name == "img" and (alt := re.search(r"\balt\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", attributes, re.I)):
-                    flow.text(html.unescape(alt[1] or alt[2] or ""))
+                elif name == "img" and shown:
+                    flow.text(a.get("alt", ""))
             continue
-        if attributes.endswith("/") and (name in ("svg", "math") or opened["svg"]):
+        if m[3].endswith("/") and (name in ("svg", "math") or opened["svg"]):
             continue
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
-            if name == "xmp" and not hidden and not hides:
+            if name in ("xmp", "textarea") and not hidden and not hides and shown:
+                inner = source[at : end.start()].replace("\r\n", "\n")
                 flow.block(2)
-                for i, row in enumerate(source[at : end.start()].replace("\r\n", "\n").split("\n")):
+                for i, row in enumerate((html.unescape(inner) if name == "textarea" else inner).removeprefix("\n").split("\n")):
                     if i:
                         flow.breaks = flow.breaks + 1 if not flow.fresh else 0
                     if row:
@@ -292,7 +351,8 @@ def render(source: str) -> str:
             continue
         if name in ("text", "option"):
             flow.space = True
-        entry = [name, 0, None]
+        entry = [name, 0, None, visible]
+        visible = shown
         if hides:
             entry[1] = 1
             hidden += 1
@@ -305,7 +365,7 @@ def render(source: str) -> str:
                 tables[-1].rows.append([])
             elif name in ("td", "th", "caption") and tables:
                 flows.append(Layout())
-                entry[2] = _span(attributes)
+                entry[2] = _count(a, "colspan"), _count(a, "rowspan", 65534)
             elif name in BLOCK:
                 flow.block(2 if name in PARAGRAPH and not (name in ("ul", "ol", "menu", "dir") and lists) else 1)
         if name == "pre":
@@ -313,7 +373,7 @@ def render(source: str) -> str:
             if source.startswith("\n", at):
                 at += 1
         elif name in ("ul", "ol", "menu", "dir"):
-            s = re.search(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", attributes, re.I)
+            s = re.match(r"\s*(-?\d{1,9})", a.get("start", ""))
             lists.append([name == "ol", int(s[1]) if s else 1])
             flow.indent += 1
         elif name in ("blockquote", "dd"):
@@ -329,17 +389,19 @@ def render(source: str) -> str:
     return re.sub(r"[ \t]+(?=\n)", "", top.value()).rstrip()
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, assistive: bool = False) -> DataFrame:
     """page_id, text, n_chars, n_lines of every row of pages (page_id, html).
 
-    Null html is an empty text; a null page_id is carried; repeated rows give
-    repeated rows; other columns are ignored. Unclosed elements end with the page.
+    Null html is an empty text, and so is one without visible text; a page of any
+    length is rendered whole. A null page_id is carried; repeated rows give repeated
+    rows; other columns are ignored; an empty table gives an empty result. Unclosed
+    elements end with the page. assistive is as in render().
     """
     kind = dict(pages.dtypes)["page_id"]
     rows = pages.select("page_id", F.col("html").cast("string").alias("html"))
 
     def run(c: dict[str, list]) -> dict[str, list]:
-        text = [render(x or "") for x in c["html"]]
+        text = [render(x or "", assistive) for x in c["html"]]
         return {"page_id": c["page_id"], "text": text, "n_chars": [len(t) for t in text], "n_lines": [t.count("\n") + 1 if t else 0 for t in text]}
 
     return common.map_rows(rows, f"page_id {kind}, text string, n_chars long, n_lines long", run)

@@ -1,4 +1,6 @@
+import re
 import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -44,3 +46,66 @@ def test_edge_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "c"), (None, None, "<p>a", "c"), (1, "u", None, "c"), (2, "u", "<p>" + "word " * 100000, "c")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.n_chars, r.n_lines) for r in html_text.extract(pages).collect()) == [(0, 1, 1), (1, 0, 0), (1, 0, 0), (2, 499999, 1)]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ("<div aria-hidden=true>shown</div>a", "shown\na"), ("<textarea>one\ntwo &amp;</textarea>k", "one\ntwo &\n\nk"),
+    ("<select><option>first<option>no</select>k", "first k"), ("<select><option>no<option selected>second<option>no</select>k", "second k"), ("<select multiple><option>a<option>b</select>", "a b"), ("<select><option>a</select><select><option>b<option selected>c</select>", "a c"),
+    ("<div style='visibility:hidden'>no<p style='visibility: visible'>shown</p>no</div>a", "shown\n\na"), ("<p style='color:red;display : none'>no</p>a", "a"), ("<p data-style='display:none'>shown</p>", "shown"), ("<p class='a hidden b' data-hidden>a</p>", "a"),
+    ("<img alt=pic style='visibility:hidden'>x", "x"), ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><tr><td>a<td rowspan=3>b<td>c<tr><td>d<td>e<tr><td colspan=1>f</table>", "a  b  c\nd     e\nf"),
+    ("<a title=\"x>text</a> b", "text b"), ("<p title='x>text</p>", "text"), ("<p class=it's>it's</p>", "it's"), ("<a href=x/>a</a>", "a"), ("<details><summary>s</summary>d</details>", "s\nd"),
+])
+def test_what_the_screen_shows(source, want):
+    assert html_text.render(source, assistive=False) == want
+
+
+class Slow(HTMLParser):
+    """Lines of visible words, from the standard library's parser: blocks and rows
+    begin lines, list items have their marker, cells follow on."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.skip, self.lists, self.marker = [[]], 0, [], []
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "head", "template"):
+            self.skip += 1
+        if tag in ("ul", "ol"):
+            self.lists.append([tag, 0])
+        if tag in html_text.BLOCK - {"td", "th"} or tag in ("br", "hr"):
+            self.lines.append([])
+        if tag == "li" and not self.skip:
+            self.lists[-1][1] += 1
+            self.marker = ["-" if self.lists[-1][0] == "ul" else f"{self.lists[-1][1]}."]
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "head", "template"):
+            self.skip -= 1
+        if tag in ("ul", "ol"):
+            self.lists.pop()
+        if tag in html_text.BLOCK - {"td", "th"}:
+            self.lines.append([])
+            self.marker = [] if tag == "li" else self.marker
+
+    def handle_data(self, data):
+        if not self.skip and data.strip():
+            self.lines[-1] += self.marker
+            self.marker = []
+            self.lines[-1].append(data)
+
+
+def test_every_page_equals_an_independent_rendering(spark):
+    pages = {r.page_id: r.html or "" for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    rows = queries.op8_html_text(spark, SMALL).collect()
+    assert len(rows) == len(pages)
+    tight = lambda lines: [t for x in lines if (t := re.sub(r"\s+", "", x))]
+    for r in rows:
+        assert tight(r.text.split("\n")) == tight(map("".join, Slow(pages[r.page_id]).lines))
+
+
+def test_very_long_page_and_empty_table(spark):
+    pages = spark.createDataFrame([(1, "<table>" + "<tr><td>a<td>b" * 30000 + "</table>")], "page_id long, html string")
+    assert html_text.extract(pages).first().n_lines == 30000
+    assert html_text.extract(pages.limit(0)).count() == 0
