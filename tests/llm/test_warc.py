@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 
+import pytest
 from pyarrow import fs
 
 from tesserine.llm import common, queries, warc
@@ -58,3 +59,20 @@ def test_edge_rows(spark):
     rows = warc.read(spark, resolved(spark, pages)[1]).collect()
     assert len(rows) == 5 and sorted((r.record_type, r.refers_to) for r in rows if r.payload_bytes) == [("response", None)] + [("revisit", 3)] * 3
     assert warc.read(spark, resolved(spark, pages.limit(0))[1]).count() == 0
+
+
+def test_record_ids_are_unique_and_payloads_are_checked(spark):
+    pages = spark.createDataFrame([(None, "u", "x" * 1500), (None, None, "y"), (3, None, "x" * 1500), (3, None, "x" * 1500)], "page_id long, url string, html string").repartition(2)
+    seen, refers = set(), set()
+    for f in resolved(spark, pages)[1].collect():
+        with common.open_input(f.file) as file:
+            for _, _, member in warc.members(file):
+                head = dict(x.split(": ", 1) for x in member.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+                assert head["WARC-Record-ID"] not in seen
+                seen.add(head["WARC-Record-ID"])
+                refers.add(head.get("WARC-Refers-To"))
+    assert len(seen) == 4 and len(refers - {None}) == 1 and refers - {None} < seen
+    good = warc.record(1, None, b"payload", "response", None, 7, hashlib.sha1(b"payload").hexdigest())
+    assert warc.parse(good)["payload"] == b"payload"
+    with pytest.raises(ValueError):
+        warc.parse(good.replace(b"payload\r", b"pAyload\r"))
