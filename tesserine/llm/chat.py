@@ -108,7 +108,7 @@ def reconstruct(log: DataFrame) -> DataFrame:
         if out:
             yield _messages(out)
 
-    return dealt.mapInArrow(run, MESSAGES)
+    return dealt.mapInArrow(common.given_back(run), MESSAGES)
 
 
 def _messages(rows: list[tuple]) -> pa.RecordBatch:
@@ -121,7 +121,8 @@ FORMATTED = "conv_id long, place long, copy long, formatted string, mask_from in
 
 def format_messages(messages: DataFrame) -> DataFrame:
     """Rendered turns in conversation order: FORMATTED. Code points from mask_from
-    up to mask_to bear loss; both are null outside assistant turns."""
+    up to mask_to bear loss; both are null outside assistant turns. messages should be
+    a stored table, as finding the ranges reads it once more."""
     common.bounded_batches(messages.sparkSession)
     order = ["conv_id", "place", "copy"]
     dealt = messages.repartitionByRange(common.parallelism(messages.sparkSession), *order).sortWithinPartitions(*order)
@@ -177,7 +178,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(close(state), kinds, strict=True)], names=names)
 
-    return dealt.mapInArrow(run, DIGEST)
+    return dealt.mapInArrow(common.given_back(run), DIGEST)
 
 
 def log_of(turns: DataFrame) -> DataFrame:
@@ -206,6 +207,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     Turns go by turn (null first); null roles and texts are empty; an empty table
     gives an empty result; other columns are ignored. A null conv_id is a
-    conversation too.
+    conversation too; ids that are no numbers raise. A text of any length is one
+    turn, and a task holds one turn at a time.
     """
-    return common.stored(format_messages(reconstruct(log_of(turns))), "chat")
+    return common.stored(format_messages(common.stored(reconstruct(log_of(turns)), "chat-messages")), "chat")
