@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch, so that a batch of very long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -41,6 +41,9 @@ def given_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
     give_back()."""
 
     def all_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        option = getattr(ctypes.CDLL(None), "mallopt", None)
+        if option is not None:
+            option(-3, 1 << 20)  # M_MMAP_THRESHOLD: what is larger goes back as soon as it is freed
         yield from run(batches)
         if done is not None:
             done()

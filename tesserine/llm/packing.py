@@ -24,7 +24,7 @@ WINDOW = 4096
 #: Gaps of fewer ids stay: a piece that small isn't worth a cut.
 LEAST_GAP = 64
 #: Ids that one shard holds before it is packed; a shard stays within a task.
-SHARD_IDS = 4 << 20
+SHARD_IDS = 2 << 20
 END_ID = 2
 
 #: (document, start, length)

@@ -26,8 +26,10 @@ SHINGLE_WORDS = 3
 #: Distinct fingerprints under one key up to which they are joined pairwise:
 #: about where 64 keys of that many pairs cost as much as the 2,016 variants.
 JOIN_UP_TO = 64
-#: 64-bit words of the bitmap of shared keys, which is broadcast: 4 MB at most.
-BITMAP_WORDS = 1 << 18
+#: Most 64-bit words of the bitmap of shared keys, which is broadcast (about 64 bytes
+#: a word); beyond 4 million shared keys it fills up, and the second shuffle comes
+#: to carry as much as the first.
+BITMAP_WORDS = 1 << 20
 MASK64 = (1 << 64) - 1
 
 
@@ -91,8 +93,9 @@ def links(distinct: DataFrame, join_up_to: int = JOIN_UP_TO) -> DataFrame:
     # most keys have one fingerprint, so a bitmap of the others' hashes, whose size
     # is fixed, holds nearly all back from the second shuffle
     common_keys = shared.filter("m > 2").select("key", "m")
-    place = F.pmod(F.xxhash64("key"), F.lit(64 * BITMAP_WORDS))
-    word, mask = F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(key), {64 * BITMAP_WORDS}) % 64 as int))").alias("mask")
+    bits = 64 * common.bitmap_words(common_keys.count(), BITMAP_WORDS)
+    place = F.pmod(F.xxhash64("key"), F.lit(bits))
+    word, mask = F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(key), {bits}) % 64 as int))").alias("mask")
     bitmap = common_keys.select(word, mask).groupBy("word").agg(F.bit_or("mask").alias("bits"))
     likely = keys.select("fp", "key", word, mask).join(F.broadcast(bitmap), "word").filter(F.col("bits").bitwiseAND(F.col("mask")) != 0).select("fp", "key")
     members = common.stored(likely.join(common_keys, "key"), "simhash-members")
@@ -143,7 +146,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id reachable over links at two or fewer
     differing bits. Null, empty and blank texts have fingerprint zero, linked
     like any other. A null doc_id is passed over as a component's name unless all
-    are null. Repeated rows give repeated rows; other columns are ignored.
+    are null. Repeated rows give repeated rows; a text of any length is fingerprinted
+    whole; other columns are ignored; an empty table gives an empty result.
     """
     keyed, roots = _classes(docs)
     by_fp = keyed.groupBy("fp").agg(F.min("__id").alias("least"))
@@ -155,7 +159,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Rows of docs with one document of each component: that with the smallest
-    doc_id (null last), and of rows repeating it one. All columns stay."""
+    doc_id (null last), and of rows repeating it one. All columns stay.
+
+    Null, empty and blank texts are one component, of which one row stays. Of rows
+    with the least doc_id and different texts that with the least hash stays. An
+    empty table gives an empty one."""
     keyed, roots = _classes(docs)
     order = F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("__id"), F.col("__hash").alias("__hash"))
     by_fp = keyed.groupBy("fp").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("rows"))

@@ -21,7 +21,10 @@ import pyarrow.compute as pc
 
 #: Entries of the cache, the longest run that it keeps, and the characters of the
 #: texts that are encoded together.
-CACHE_WORDS, CACHE_CHARS, GROUP_CHARS = 200_000, 48, 4 << 20
+CACHE_WORDS, CACHE_CHARS, GROUP_CHARS = 150_000, 48, 4 << 20
+#: Runs of letters that go to the model in one call, whose result takes about 100 bytes
+#: a token.
+RUNS = 1 << 12
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
@@ -62,11 +65,15 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _letters(self, runs: list[str]) -> dict[str, bytes]:
-        """Ids of lower-case runs of letters, all in one call of the model."""
-        mapped = " ".join(runs).encode().decode("latin1").translate(_ALPHABET)
-        ids = np.asarray(self.runs.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
-        data, stops = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-        return {r: data[i:j] for r, i, j in zip(runs, [0, *stops], stops, strict=False)}
+        """Ids of lower-case runs of letters, many in one call of the model."""
+        out: dict[str, bytes] = {}
+        for i in range(0, len(runs), RUNS):
+            some = runs[i : i + RUNS]
+            mapped = " ".join(some).encode().decode("latin1").translate(_ALPHABET)
+            ids = np.asarray(self.runs.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
+            data, stops = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            out.update((r, data[i:j]) for r, i, j in zip(some, [0, *stops], stops, strict=False))
+        return out
 
     def _of(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words, from the cache or the tokenizer."""
@@ -109,13 +116,20 @@ class Encoder:
         parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         words = parts.values.dictionary_encode()
         each = self._of(words.dictionary.to_pylist())
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        place, flat = np.cumsum(size) - size, np.frombuffer(b"".join(each), "<u4")
+        size = np.fromiter(map(len, each), np.int32, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), "<u4")
+        del each
         which = words.indices.to_numpy()
+        cuts = parts.offsets.to_numpy()
+        del parts, words
         n = size[which]
-        stops = np.cumsum(n)
-        ids = flat[np.repeat(place[which] - (stops - n), n) + np.arange(stops[-1] if len(stops) else 0)]
-        cuts = np.concatenate([[0], stops])[parts.offsets.to_numpy()].tolist()
+        stops = np.cumsum(n, dtype=np.int64)
+        wide = np.int32 if not len(stops) or max(stops[-1], len(flat)) < 1 << 31 else np.int64
+        stops = stops.astype(wide)
+        at = np.repeat((np.cumsum(size, dtype=np.int64).astype(wide) - size)[which] - (stops - n), n)
+        at += np.arange(len(at), dtype=wide)
+        ids = flat[at]
+        cuts = np.concatenate([np.zeros(1, wide), stops])[cuts].tolist()
         for i, j in zip(cuts, cuts[1:], strict=False):
             yield ids[i:j]
 
