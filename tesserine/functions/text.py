@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MIN_TOKEN, MAX_TOKEN = 2, 64
+#: The stop words of the tokenizer's contract.
 STOP_WORDS = frozenset(
     """about after all also an and any are as at be because been before being between both but by can come could did do does done during each
     for from get got had has have he her here him his how if in into is it its just may me more most much my myself no not of on only or other our over
@@ -25,13 +27,17 @@ def ascii_upper(c: Column) -> Column:
     return F.translate(c, ASCII_LOWER, ASCII_UPPER)
 
 
+#: A kept token: a whole run of ASCII word characters, in any case, of 2 to 64, that is
+#: no stop word. Without its look-arounds a longer run would give its first 64.
+_WORD = "[A-Za-z0-9_]"
+TOKEN = f"(?<!{_WORD})(?!(?i:{'|'.join(sorted(STOP_WORDS))})(?!{_WORD})){_WORD}{{{MIN_TOKEN},{MAX_TOKEN}}}+(?!{_WORD})"
+
+
 def tokens(text: Column) -> Column:
-    """Kept tokens in order: runs of ASCII word characters, in lower case, of 2 to 64
-    characters, that are no stop words. Lower-casing the text first is right as only
-    A-Z change; a look-ahead-free pattern keeps this in one JVM regex pass."""
-    found = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+"), 0)
-    stop = F.array(*[F.lit(w) for w in sorted(STOP_WORDS)])
-    return F.filter(F.filter(found, lambda t: F.length(t).between(MIN_TOKEN, MAX_TOKEN)), lambda t: ~F.array_contains(stop, t))
+    """Kept tokens in order, in lower case: one JVM regex pass finds them, and as they
+    are ASCII alone the whole list is lower-cased at once."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    return F.array_remove(F.split(F.lower(F.array_join(found, " ")), " "), "")
 
 
 def query_tokens(query: str, keep_stop: bool = False) -> list[str]:
@@ -40,6 +46,12 @@ def query_tokens(query: str, keep_stop: bool = False) -> list[str]:
     return list(dict.fromkeys(w for w in found if keep_stop or w not in STOP_WORDS))
 
 
+def phrase_tokens(phrase: str) -> list[str]:
+    """Kept tokens of a phrase, in order, repeats too."""
+    found = re.findall("[a-z0-9_]+", re.sub("[A-Z]", lambda m: m[0].lower(), phrase))
+    return [w for w in found if MIN_TOKEN <= len(w) <= MAX_TOKEN and w not in STOP_WORDS]
+
+
 def contains_tokens(text: Column, query: Column) -> Column:
     """The generic match: each white-space-separated token of the query occurs,
     whatever its case, as a substring. Null where either side is null."""
@@ -123,11 +135,12 @@ def stem(word: str) -> str:
     return w
 
 
-def highlight(text: str, terms: list[str], context: int = 80, most: int = 3, merge: int = 40, before: str = "<em>", after: str = "</em>", gap: str = "...") -> list[str]:
+def highlight(text: str, terms: list[str], context: int = 80, most: int = 3, merge: int = 40, before: str = "<em>", after: str = "</em>", gap: str = "...", of: Callable[[str], str] | None = None) -> list[str]:
     """Snippets of a text around its query terms: regions of some characters on
-    both sides, merged when near, cut at white space, terms marked."""
+    both sides, merged when near, cut at white space, terms marked. With `of`, a word
+    is a term's if of(word) is one."""
     wanted = set(terms)
-    marks = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9_]+", text) if m[0].lower() in wanted]
+    marks = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9_]+", text) if (of(m[0].lower()) if of else m[0].lower()) in wanted]
     regions: list[list] = []
     for s, e in marks:
         lo, hi = max(0, s - context), min(len(text), e + context)

@@ -1,9 +1,10 @@
 """BM25 search over (id, text) documents.
 
-A search is two narrow scans: one for the number of documents and their mean
-length, one that counts the query's terms in each document's tokens; only counts
-by term are shuffled. An index that is to be searched many times can be saved:
-postings are then read by term with the filter pushed into the scan.
+Texts are tokenized once: ``build`` writes the tokens of each document, postings
+ordered by term with their dictionary's counts, and the number of documents and
+tokens. Searches read postings by term, with the filter pushed into the scan, and
+shuffle only what they match. An index that isn't built yet works from the texts,
+by the same searches.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def parse(query: str) -> Parsed:
     out = Parsed()
     for minus, phrase, word in re.findall(r'(-?)"([^"]*)"|(\S+)', query):
         if not word:
-            found = tx.query_tokens(phrase)
+            found = tx.phrase_tokens(phrase)
             (out.excluded.extend(found) if minus else out.phrases.append(found)) if found else None
         elif word.startswith("-") and len(word) > 1:
             out.excluded += tx.query_tokens(word[1:])
@@ -44,19 +45,32 @@ def parse(query: str) -> Parsed:
     return out
 
 
+def _tokenized(docs: DataFrame, stemmed: bool) -> DataFrame:
+    toks = docs.select("id", tx.tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+    if not stemmed:
+        return toks
+    @F.pandas_udf("string")
+    def stem(words: pd.Series) -> pd.Series:
+        return words.map(tx.stem)
+
+    # each distinct term is stemmed once
+    each = toks.select("id", F.posexplode("tokens").alias("pos", "term"))
+    stems = each.select("term").distinct().select("term", stem("term").alias("stem"))
+    return each.join(stems, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("t")).select("id", F.col("t.stem").alias("tokens"))
+
+
 class TextIndex:
     """Documents (id, text) to search. Null texts have no tokens; documents without
-    tokens don't count."""
-
-    def __init__(self, docs: DataFrame, stemmed: bool = False):
-        self.docs = docs
-        toks = tx.tokens(F.col("text"))
-        if stemmed:
-            toks = _stemmed(toks)
-        self.stemmed = stemmed
-        self.tokens = docs.select("id", toks.alias("tokens")).filter(F.size("tokens") > 0)
-        self._saved: DataFrame | None = None
-        self._stats: tuple[int, float] | None = None
+    tokens don't count. A stemmed index holds and searches stems throughout."""
+
+    def __init__(self, docs: DataFrame, stemmed: bool = False, path: str | None = None):
+        self.docs, self.stemmed, self.path = docs, stemmed, path
+        self._stats: DataFrame | None = None
+        if path is None:
+            self.tokens = _tokenized(docs, stemmed)
+        else:
+            read = docs.sparkSession.read.parquet
+            self.tokens, self._postings, self._stats = read(f"{path}/tokens"), read(f"{path}/postings"), read(f"{path}/stats")
 
     # parts of the index
     def lengths(self) -> DataFrame:
@@ -64,34 +78,39 @@ class TextIndex:
 
     def postings(self) -> DataFrame:
         """term, id, tf, len and positions (from 0, of kept tokens)."""
-        if self._saved is not None:
-            return self._saved
+        if self.path is not None:
+            return self._postings
         each = self.tokens.select("id", F.size("tokens").cast("long").alias("len"), F.posexplode("tokens").alias("pos", "term"))
         return each.groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
     def dictionary(self) -> DataFrame:
         """term, df. The distinct terms of a document are found before the shuffle."""
+        if self.path is not None:
+            return self._postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         return self.tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def stats(self) -> DataFrame:
+        if self._stats is not None:
+            return self._stats
         return self.tokens.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).cast("long").alias("tokens"), F.avg(F.size("tokens")).alias("avgdl"))
 
-    def save(self, path: str) -> TextIndex:
-        """Writes postings, ordered by term within ranges of terms, and uses them."""
-        self.postings().repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(path)
-        self._saved = self.docs.sparkSession.read.parquet(path)
-        return self
+    def build(self, path: str) -> TextIndex:
+        """Writes the index under path and returns the one that reads it: tokens by
+        document, postings ordered by term within ranges of terms, and counts."""
+        self.tokens.write.parquet(f"{path}/tokens")
+        made = TextIndex.__new__(TextIndex)
+        made.docs, made.stemmed, made.path, made._stats = self.docs, self.stemmed, None, None
+        made.tokens = self.docs.sparkSession.read.parquet(f"{path}/tokens")
+        made.postings().repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+        made.stats().write.parquet(f"{path}/stats")
+        return TextIndex(self.docs, self.stemmed, path)
+
+    save = build
 
     # scoring
     def _matches(self, terms: list[str]) -> DataFrame:
-        """id, len, term, tf for the given terms. Without a saved index the terms are
-        counted inside each document's tokens, with no shuffle."""
-        if self._saved is not None:
-            return self._saved.filter(F.col("term").isin(terms)).select("id", "len", "term", "tf")
-        wanted = F.filter("tokens", lambda t: t.isin(terms)) if len(terms) else F.array()
-        each = self.tokens.select("id", F.size("tokens").cast("long").alias("len"), wanted.alias("hits")).filter(F.size("hits") > 0)
-        counted = F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda x: x == t)).cast("long").alias("tf")))
-        return each.select("id", "len", F.explode(counted).alias("h")).select("id", "len", "h.term", "h.tf")
+        """id, len, term, tf for the given terms."""
+        return self.postings().filter(F.col("term").isin(terms)).select("id", "len", "term", "tf")
 
     def _weighted(self, found: DataFrame) -> DataFrame:
         """found with score: BM25 of each term in each document."""
@@ -123,28 +142,33 @@ class TextIndex:
 
     def search_mode(self, query: str, limit: int | None = None) -> DataFrame:
         """Terms, "phrases" and -exclusions together."""
-        p = parse(query)
+        p = self._stems(parse(query))
         terms = list(dict.fromkeys([*p.terms, *[w for ph in p.phrases for w in ph]]))
         out = self._total(terms, len(terms))
         for phrase in p.phrases:
             out = out.join(self._with_phrase(phrase), "id", "left_semi")
         if p.excluded:
-            gone = self.tokens.filter(F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in p.excluded]))).select("id")
+            gone = self.postings().filter(F.col("term").isin(p.excluded)).select("id")
             out = out.join(gone, "id", "left_anti")
         return self.top(out, limit)
 
     def _with_phrase(self, words: list[str]) -> DataFrame:
-        """Documents with the words at consecutive places of their kept tokens. No
-        token has a space, so one substring search over the joined tokens is exact
-        (an expression over places would tokenize the text anew at each)."""
-        joined = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
-        return self.tokens.filter(joined.contains(f" {' '.join(words)} ")).select("id")
+        """Documents with the words at consecutive places of their kept tokens: each
+        place of a word, less its number in the phrase, is where the phrase begins."""
+        asked = {w: [i for i, x in enumerate(words) if x == w] for w in words}
+        found = self.postings().filter(F.col("term").isin(list(asked))).select("id", "term", F.explode("positions").alias("pos"))
+        number = F.when(F.lit(False), F.array(F.lit(0)))
+        for w, places in asked.items():
+            number = number.when(F.col("term") == w, F.array(*[F.lit(i) for i in places]))
+        starts = found.select("id", "pos", F.explode(number).alias("k")).groupBy("id", (F.col("pos") - F.col("k")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
+        return starts.filter(F.col("n") == len(words)).select("id").distinct()
 
     def search_phrase(self, phrase: str, limit: int | None = None) -> DataFrame:
-        words = [w for w in tx.query_tokens(phrase)]
+        words = self._stemmed(tx.phrase_tokens(phrase))
         if not words:
             return self.tokens.limit(0).select("id", F.lit(0.0).alias("score"))
-        return self.top(self._total(words, len(words)).join(self._with_phrase(words), "id", "left_semi"), limit)
+        terms = list(dict.fromkeys(words))
+        return self.top(self._total(terms, len(terms)).join(self._with_phrase(words), "id", "left_semi"), limit)
 
     def expand_fuzzy(self, term: str, distance: int = MAX_FUZZY, least: int = MIN_FUZZY_LENGTH) -> DataFrame:
         """term, weight: dictionary terms within an edit distance; weight falls with
@@ -159,7 +183,7 @@ class TextIndex:
         """Any term, each with its near spellings; scores add up."""
         distance, least = distance or MAX_FUZZY, least or MIN_FUZZY_LENGTH
         weights = None
-        for term in tx.query_tokens(query):
+        for term in self._terms(query):
             w = self.expand_fuzzy(term, distance, least)
             weights = w if weights is None else weights.unionByName(w)
         if weights is None:
@@ -173,48 +197,49 @@ class TextIndex:
         score = F.log((F.col("__n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0) * (tf * (K1 + 1.0)) / (tf + K1 * (1.0 - B + B * F.col("len") / F.col("__avg")))
         return self.top(w.groupBy("id").agg(F.sum(score * F.col("weight")).alias("score")), limit)
 
-    def search_prefix(self, query: str, limit: int | None = None, most: int = MAX_EXPANSIONS) -> DataFrame:
+    def search_prefix(self, query: str, limit: int | None = None, most: int | None = MAX_EXPANSIONS) -> DataFrame:
         """Terms, of which those ending in * stand for the first `most` dictionary
-        terms that begin so; a document needs one for each term."""
+        terms that begin so (None: all); a document needs one for each term. In a
+        stemmed index a prefix is one of stems."""
         groups = []
         for k, word in enumerate(query.split()):
             for term in tx.query_tokens(word):
                 if word.endswith("*") and len(term) >= MIN_PREFIX:
-                    t = self.dictionary().filter(F.col("term").startswith(term)).orderBy("term").limit(most).select("term")
+                    t = self.dictionary().filter(F.col("term").startswith(term)).select("term")
+                    t = t if most is None else t.orderBy("term").limit(most)
                 else:
-                    t = self.docs.sparkSession.range(1).select(F.lit(term).alias("term"))
+                    t = self.docs.sparkSession.range(1).select(F.lit(self._stemmed([term])[0]).alias("term"))
                 groups.append(t.withColumn("g", F.lit(k)))
         if not groups:
             return self.tokens.limit(0).select("id", F.lit(0.0).alias("score"))
         wanted = groups[0]
         for g in groups[1:]:
             wanted = wanted.unionByName(g)
-        single = F.broadcast(wanted.select("term").distinct())  # `most` rows for each query term
+        small = F.broadcast if most is not None else lambda d: d  # `most` rows for each query term
+        single = small(wanted.select("term").distinct())
         found = self.postings().select("term", "id", "len", "tf").join(single, "term")
-        scored = self._weighted(found).select("id", "term", "score").join(F.broadcast(wanted), "term")
+        scored = self._weighted(found).select("id", "term", "score").join(small(wanted), "term")
         out = scored.groupBy("id", "g").agg(F.sum("score").alias("score")).groupBy("id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"))
         return self.top(out.filter(F.col("n") == len({k for k, w in enumerate(query.split()) if tx.query_tokens(w)})).select("id", "score"), limit)
 
+    def _stemmed(self, words: list[str]) -> list[str]:
+        return list(map(tx.stem, words)) if self.stemmed else words
+
     def _terms(self, query: str) -> list[str]:
-        terms = tx.query_tokens(query)
-        return list(dict.fromkeys(map(tx.stem, terms))) if self.stemmed else terms
+        return list(dict.fromkeys(self._stemmed(tx.query_tokens(query))))
+
+    def _stems(self, p: Parsed) -> Parsed:
+        one = lambda words: list(dict.fromkeys(self._stemmed(words)))
+        return Parsed(one(p.terms), [self._stemmed(x) for x in p.phrases], one(p.excluded))
 
     def highlight(self, query: str) -> DataFrame:
-        """id, snippets of the documents with any of the query's terms."""
-        terms = tx.query_tokens(query)
+        """id, snippets of the documents with any of the query's terms. Only their
+        texts go to Python, in Arrow batches."""
+        terms, stemmed = self._terms(query), self.stemmed
 
         @F.pandas_udf("array<string>")
         def snippets(text: pd.Series) -> pd.Series:
-            return text.map(lambda x: tx.highlight(x, terms))
+            return text.map(lambda x: tx.highlight(x, terms, of=tx.stem if stemmed else None))
 
-        hit = self.tokens.filter(F.arrays_overlap("tokens", F.array(*[F.lit(t) for t in terms]))).select("id") if terms else self.tokens.limit(0).select("id")
+        hit = self._matches(terms).select("id").distinct() if terms else self.tokens.limit(0).select("id")
         return self.docs.join(hit, "id", "left_semi").select("id", snippets("text").alias("snippets"))
-
-
-def _stemmed(tokens: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(rows: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        return rows.map(lambda r: [known.setdefault(w, None) or known.update({w: tx.stem(w)}) or known[w] for w in r])
-
-    return run(tokens)

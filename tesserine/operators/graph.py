@@ -7,6 +7,7 @@ __id, __src and __dst; each node is in one node table.
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -54,6 +55,11 @@ class Graph:
     next_node: int = 1
     next_edge: int = 1
     version: int = 0
+    #: Whether edges may lead to nodes that a plain DELETE took away; such edges
+    #: match no pattern.
+    dangling: bool = False
+    #: Built text indexes by docs; copies of a snapshot share it.
+    indexes: list = field(default_factory=list, compare=False, repr=False)
 
     # building
     def with_nodes(self, name: str, df: DataFrame, labels: tuple[str, ...] | None = None) -> Graph:
@@ -87,9 +93,17 @@ class Graph:
         return union([t.df.withColumn("__type", F.lit(k)) for k, t in self.edges.items() if not types or k in types])
 
     def index(self):
+        """The text index of docs, built when it is first asked for."""
         from .fts import TextIndex
 
-        return TextIndex(self.docs if self.docs is not None else self.spark.createDataFrame([], "id long, text string"))
+        if self.docs is None:
+            return TextIndex(self.spark.createDataFrame([], "id long, text string"))
+        for docs, index in self.indexes:
+            if docs is self.docs:
+                return index
+        index = TextIndex(self.docs).build(scratch(self.spark, "text"))
+        self.indexes[:] = [(self.docs, index), *self.indexes[:3]]
+        return index
 
     # what a client lists
     def label_counts(self) -> DataFrame:
@@ -155,19 +169,37 @@ def union(parts: list[DataFrame]) -> DataFrame | None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder for tables of snapshots: spark.checkpoint.dir, or a temporary one
-    where that is unset."""
+    """A folder that driver and executors share, for tables of snapshots:
+    spark.checkpoint.dir, or where that is unset a temporary one, in local mode only."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.tesserine.scratch", None)
     if not base:
         import tempfile
 
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tesserine-")
         spark.conf.set("spark.tesserine.scratch", base)
     return base
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in that folder, deleted when the session's JVM ends."""
+    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df as a table on the shared folder: computed once, now, for good."""
-    path = f"{scratch_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a settled table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -31,7 +31,11 @@ def search_many(vectors: DataFrame, queries: dict[int, Sequence[float]], k: int
     vectors meets all queries in one matrix product, keeps k of its rows for each,
     and the few left are cut to k in the end. With probed (queries by lists), a
     query meets only the vectors whose column list it probes."""
-    names = list(queries)
+    names = [q for q, v in queries.items() if v is not None and len(v)]
+    if len({len(queries[q]) for q in names}) != 1:
+        parts = [{q: queries[q] for q in names if len(queries[q]) == n} for n in sorted({len(queries[q]) for q in names})]
+        none = vectors.sparkSession.createDataFrame([], "query_id long, id long, distance double")
+        return reduce(DataFrame.unionByName, [search_many(vectors, p, k, metric) for p in parts], none)
     matrix = np.array([queries[q] for q in names], np.float64)
 
     def distances(x: np.ndarray, matrix: np.ndarray = matrix) -> np.ndarray:
@@ -90,16 +94,22 @@ def search_all(queries: DataFrame, search: Callable[[dict[int, Sequence[float]]]
 class InvertedLists:
     """Approximate search: vectors are filed under the nearest of some centroids, and
     a query looks at the lists of the nearest few. Every vector is filed; centroids
-    come from a bounded sample (sample_rows)."""
+    come from a bounded sample (sample_rows). Null and empty vectors, and those of
+    another size than most, are in no list, as they have no distance; a table without
+    vectors has no lists and gives no neighbours. At the default of five eighths of
+    the lists, the recall of the nearest ten is measured in the tests."""
 
     def __init__(self, vectors: DataFrame, lists: int = 64, sample_rows: int = 20_000, rounds: int = 10, seed: int = 42):
         spark = vectors.sparkSession
-        total = vectors.count()
-        part = vectors.select("embedding") if total <= sample_rows else vectors.select("embedding").orderBy(F.xxhash64("id")).limit(sample_rows)
-        x = np.array([r[0] for r in part.collect()], np.float64)
+        vectors = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.size("embedding") > 0)
+        sizes = vectors.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()  # rows of another size have no distance
+        self.dims = sizes[0]["n"] if sizes else 0
+        vectors = vectors.filter(F.size("embedding") == self.dims)
+        part = vectors.select("embedding").orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+        x = np.array([r[0] for r in part.collect()], np.float64).reshape(-1, self.dims)
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
         rng = np.random.default_rng(seed)
-        c = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
+        c = x[rng.choice(len(x), min(lists, len(x)), replace=False)] if len(x) else x
         for _ in range(rounds):
             near = (x @ c.T).argmax(1)
             for j in range(len(c)):
@@ -130,6 +140,9 @@ class InvertedLists:
         return -(-5 * len(self.centroids) // 8)
 
     def search_many(self, queries: dict[int, Sequence[float]], k: int = 10, probes: int | None = None) -> DataFrame:
+        queries = {q: v for q, v in queries.items() if v is not None and len(v) == self.dims > 0}
+        if not queries:
+            return self.filed.sparkSession.createDataFrame([], "query_id long, id long, distance double")
         near = np.argsort(-(np.array(list(queries.values()), np.float64) @ self.centroids.T), axis=1)[:, : probes or self.probes()]
         probed = np.zeros((len(queries), len(self.centroids)), bool)
         np.put_along_axis(probed, near, True, axis=1)
@@ -137,6 +150,8 @@ class InvertedLists:
 
     def search(self, query: Sequence[float], k: int = 10, probes: int | None = None) -> DataFrame:
         q = np.array(query, np.float64)
+        if len(q) != self.dims:
+            raise ValueError("the query has the wrong number of dimensions")
         near = np.argsort(-(self.centroids @ q))[: probes or self.probes()].tolist()
         return search(self.filed.filter(F.col("list").isin(near)), query, k)
 
@@ -145,8 +160,9 @@ def hash_embed(docs: DataFrame, dims: int = 128) -> DataFrame:
     """id, embedding of documents (id, text): signed counts of hashed tokens, of
     length one. Documents without tokens have no embedding."""
     h = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")
-    each = docs.select("id", F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
-    sign = F.when(F.shiftright(h, 31) == 1, -1).otherwise(1)
-    cells = each.select("id", F.pmod(h, F.lit(dims)).cast("int").alias("cell"), (sign * F.col("n")).alias("v")).groupBy("id", "cell").agg(F.sum("v").alias("v"))
+    each = docs.select("id", F.explode(tx.tokens(F.col("text"))).alias("term")).select("id", h.alias("h"))
+    # a document's tokens are in one partition, so sums by cell are nearly done before the shuffle
+    sign = F.when(F.shiftright("h", 31) == 1, -1).otherwise(1)
+    cells = each.groupBy("id", F.pmod("h", F.lit(dims)).cast("int").alias("cell")).agg(F.sum(sign).alias("v"))
     rows = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "v"))).alias("m"), F.sum(F.col("v") * F.col("v")).alias("sq")).filter("sq > 0")
     return rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.sqrt("sq")).alias("embedding"))

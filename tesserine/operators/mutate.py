@@ -36,11 +36,16 @@ def numbered(df: DataFrame, name: str, first: int) -> tuple[DataFrame, int]:
     return out.withColumn(name, F.col("__o") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m", "__p", "__o"), at
 
 
+def table_name(labels: Iterable[str]) -> str:
+    """The table of nodes that are made with a set of labels."""
+    return ":" + ":".join(sorted(set(labels)))
+
+
 def add_nodes(g: Graph, df: DataFrame, labels: Iterable[str]) -> Graph:
     """Adds nodes (__id and properties) with fixed labels to the table of that label set."""
     labels = tuple(dict.fromkeys(labels))
     df = df.withColumn("__labels", F.array(*[F.lit(x) for x in labels]).cast("array<string>"))
-    name = ":" + ":".join(sorted(labels))
+    name = table_name(labels)
     have = g.nodes.get(name)
     whole = df if have is None else union([have.df, df])
     return replace(g, nodes={**g.nodes, name: NodeTable(whole, frozenset(labels), frozenset(labels) | (have.some if have else frozenset()))})
@@ -51,25 +56,36 @@ def add_edges(g: Graph, df: DataFrame, kind: str) -> Graph:
     return replace(g, edges={**g.edges, kind: EdgeTable(df if have is None else union([have.df, df]))})
 
 
-def _loose(g: Graph) -> dict[str, EdgeTable]:
-    """Edge tables whose ends may be in any node table."""
-    return {k: replace(x, src=None, dst=None) for k, x in g.edges.items()}
+def touched(tables: dict, ids: DataFrame, key: str, columns: tuple[str, ...], among: Iterable[str] | None) -> list[str]:
+    """Names of the tables (of `among`, or of all) that have one of the ids (column
+    key) in one of the columns. Only these need be written anew."""
+    names = [n for n in tables if among is None or n in among]
+    asked = [tables[n].df.select(F.lit(n).alias("t"), F.col(c).alias("__i")) for n in names for c in columns]
+    if not asked:
+        return []
+    found = {r[0] for r in union(asked).join(ids, F.col("__i") == F.col(key), "left_semi").select("t").distinct().collect()}  # names alone
+    return [n for n in names if n in found]
 
 
-def delete_nodes(g: Graph, ids: DataFrame, detach: bool) -> Graph:
-    """Without the nodes of a table of ids; with detach, without their edges too."""
+def delete_nodes(g: Graph, ids: DataFrame, detach: bool, among: Iterable[str] | None = None) -> Graph:
+    """Without the nodes of a table of ids; with detach, without their edges too.
+    Without it their edges stay, and match nothing. among names the node tables that
+    they may be in."""
     gone = settled(ids.select(F.col("id").alias("__gone")).distinct())
-    nodes = {k: replace(x, df=settled(x.df.join(gone, F.col("__id") == F.col("__gone"), "left_anti"))) for k, x in g.nodes.items()}
-    edges = _loose(g)
+    hit = touched(g.nodes, gone, "__gone", ("__id",), among)
+    nodes = dict(g.nodes) | {k: replace(g.nodes[k], df=settled(g.nodes[k].df.join(gone, F.col("__id") == F.col("__gone"), "left_anti"))) for k in hit}
+    ends = touched(g.edges, gone, "__gone", ("__src", "__dst"), [k for k, x in g.edges.items() if x.src is None or x.dst is None or (x.src | x.dst) & set(hit)])
+    edges = dict(g.edges)
     if detach:
-        edges = {k: replace(x, df=settled(x.df.join(gone, F.col("__src") == F.col("__gone"), "left_anti").join(gone, F.col("__dst") == F.col("__gone"), "left_anti"))) for k, x in g.edges.items()}
+        edges |= {k: replace(g.edges[k], df=settled(g.edges[k].df.join(gone, F.col("__src") == F.col("__gone"), "left_anti").join(gone, F.col("__dst") == F.col("__gone"), "left_anti"))) for k in ends}
     keep = lambda d: None if d is None else d.join(gone, F.col("id") == F.col("__gone"), "left_anti")
-    return replace(g, nodes=nodes, edges=edges, vectors=keep(g.vectors), docs=keep(g.docs))
+    return replace(g, nodes=nodes, edges=edges, vectors=keep(g.vectors), docs=keep(g.docs), dangling=g.dangling or bool(ends) and not detach)
 
 
-def delete_edges(g: Graph, ids: DataFrame) -> Graph:
+def delete_edges(g: Graph, ids: DataFrame, among: Iterable[str] | None = None) -> Graph:
     gone = settled(ids.select(F.col("id").alias("__gone")).distinct())
-    return replace(g, edges={k: replace(x, df=settled(x.df.join(gone, F.col("__id") == F.col("__gone"), "left_anti"))) for k, x in g.edges.items()})
+    hit = touched(g.edges, gone, "__gone", ("__id",), among)
+    return replace(g, edges=dict(g.edges) | {k: replace(g.edges[k], df=settled(g.edges[k].df.join(gone, F.col("__id") == F.col("__gone"), "left_anti"))) for k in hit})
 
 
 def _merged(old: DataFrame, keys: tuple[str, ...], changes: DataFrame, new: dict[str, str], cleared: Iterable[str]) -> DataFrame:
@@ -93,26 +109,28 @@ def _merged(old: DataFrame, keys: tuple[str, ...], changes: DataFrame, new: dict
 def set_properties(g: Graph, kind: str, changes: DataFrame, new: dict[str, str], replace_all: bool, tables: Iterable[str] | None = None) -> Graph:
     """Sets properties of nodes or edges by id. changes has one row for each id (__k);
     new names its column for each property. With replace_all every other property is
-    cleared."""
+    cleared. Of the tables (all, if none are named) only those with such an id are
+    written anew."""
     changes = settled(changes)
     have, keys = (g.nodes, NODE_KEYS) if kind == "node" else (g.edges, EDGE_KEYS)
     out = dict(have)
-    for name in have if tables is None else tables:
+    for name in touched(have, changes, "__k", ("__id",), tables):
         x = have[name]
         out[name] = replace(x, df=settled(_merged(x.df, keys, changes, new, [c for c in x.df.columns if c not in keys and c not in new] if replace_all else ())))
     return replace(g, nodes=out) if kind == "node" else replace(g, edges=out)
 
 
-def set_labels(g: Graph, ids: DataFrame, labels: tuple[str, ...], remove: bool) -> Graph:
+def set_labels(g: Graph, ids: DataFrame, labels: tuple[str, ...], remove: bool, among: Iterable[str] | None = None) -> Graph:
     ids = settled(ids.select(F.col("id").alias("__k")).distinct())
     given = F.array(*[F.lit(x) for x in labels])
     change = F.array_except("__labels", given) if remove else F.array_union("__labels", given)
-    out = {}
-    for name, x in g.nodes.items():
+    out = dict(g.nodes)
+    for name in touched(g.nodes, ids, "__k", ("__id",), among):
+        x = g.nodes[name]
         df = x.df.join(ids, F.col("__id") == F.col("__k"), "left").withColumn("__labels", F.when(F.col("__k").isNotNull(), change).otherwise(F.col("__labels"))).drop("__k")
         every = x.every - set(labels) if remove else x.every
         out[name] = NodeTable(settled(df.select(*x.df.columns)), every, x.some if remove else x.some | set(labels))
-    return replace(g, nodes=out, edges=_loose(g))
+    return replace(g, nodes=out)
 
 
 class Writer:
@@ -127,8 +145,8 @@ class Writer:
 
     def apply(self, c) -> None:
         low = self.low
-        if low.df is not None:
-            low.df = settled(low.df)
+        if low.df is not None:  # numbered, as of several values for one element the last row's is set
+            low.df = settled(low.df.withColumn("__row", F.monotonically_increasing_id()))
         {t.Create: self.create, t.Merge: self.merge, t.Delete: self.delete, t.Set: self.set, t.Remove: self.remove}[type(c)](c)
 
     def _values(self, props: tuple) -> dict[str, S.Value]:
@@ -166,18 +184,18 @@ class Writer:
         df, low.graph = self._with_ids(low.rows().select("*", *[v.col.alias(f"__new_{k}") for k, v in values.items()]), var, "next_node")
         low.graph = add_nodes(low.graph, df.select(F.col(f"`{var}`").alias("__id"), *[F.col(f"`__new_{k}`").alias(k) for k in values]), p.labels)
         low.df = df.drop(*[f"__new_{k}" for k in values])
-        self._bind(var, "node")
+        self._bind(var, "node", frozenset((table_name(p.labels),)))
         return var
 
     def _with_ids(self, df: DataFrame, var: str, counter: str) -> tuple[DataFrame, Graph]:
         df, after = numbered(df, var, getattr(self.low.graph, counter))
         return settled(df), replace(self.low.graph, **{counter: after})
 
-    def _bind(self, var: str, kind: str) -> None:
+    def _bind(self, var: str, kind: str, tables: frozenset[str] | None = None) -> None:
         from ..plans.lower import Bound
 
         if kind == "node":
-            self.low.scope[var] = Bound("node", {}, None, False, None)
+            self.low.scope[var] = Bound("node", {}, None, False, tables)
         else:
             frame, props, _ = self.low.edge_table((), var)
             key = self.low.new("key")
@@ -199,7 +217,7 @@ class Writer:
         for name, b in list(self.low.scope.items()):
             if b.kind == "node":
                 self.low.df = self.low.rows().drop(*b.columns())
-                self._bind(name, "node")
+                self._bind(name, "node", b.tables)
             elif b.kind == "edge":
                 self.low.df = self.low.rows().drop(*b.columns())
                 self._bind(name, "edge")
@@ -209,24 +227,33 @@ class Writer:
         if among is not None:
             rows = rows.filter(among)
         cols = {k: f"__v{i}" for i, k in enumerate(values)}
-        rows = rows.select(F.col(f"`{var}`").alias("__k"), *[v.col.cast("string" if v.kind == "null" else v.type).alias(cols[k]) for k, v in values.items()]).filter("__k IS NOT NULL")
-        return rows.groupBy("__k").agg(*[F.last(c).alias(c) for c in cols.values()]) if cols else rows.distinct(), cols
+        number = F.col("__row") if "__row" in rows.columns else F.monotonically_increasing_id().alias("__row")
+        rows = rows.select(F.col(f"`{var}`").alias("__k"), number, *[v.col.cast("string" if v.kind == "null" else v.type).alias(cols[k]) for k, v in values.items()]).filter("__k IS NOT NULL")
+        if not cols:
+            return rows.select("__k").distinct(), cols
+        pick = F.max_by(F.struct(*cols.values()), "__row").alias("__best")
+        return rows.groupBy("__k").agg(pick).select("__k", *[F.col("__best")[c].alias(c) for c in cols.values()]), cols
 
     def set(self, c: t.Set, among: Column | None = None) -> None:
         for i in c.items:
             kind = self.low.scope[i.var].kind
             if isinstance(i, t.SetLabels):
-                self.low.graph = set_labels(self.low.graph, self.low.rows().select(F.col(f"`{i.var}`").alias("id")), i.labels, False)
+                self.low.graph = set_labels(self.low.graph, self.low.rows().select(F.col(f"`{i.var}`").alias("id")), i.labels, False, self._tables(i.var))
             elif isinstance(i, t.SetProperty):
                 if isinstance(i.value, t.Name) and self.low.scope[i.value.name].kind != "value":
                     raise QueryError("execution", "type_error", "a property can't hold a node or a relationship")
                 changes, cols = self._changes(i.var, {i.key: self.low.expr(i.value)}, among)
-                self.low.graph = set_properties(self.low.graph, kind, changes, cols, False)
+                self.low.graph = set_properties(self.low.graph, kind, changes, cols, False, self._tables(i.var))
             else:
                 changes, cols = self._changes(i.var, self._map(i.value), among)
-                self.low.graph = set_properties(self.low.graph, kind, changes, cols, not i.merge)
+                self.low.graph = set_properties(self.low.graph, kind, changes, cols, not i.merge, self._tables(i.var))
             self._stale(i.var)
 
+    def _tables(self, var: str) -> frozenset[str] | None:
+        """Node tables that a variable's nodes may be in, if that is known."""
+        b = self.low.scope[var]
+        return b.tables if b.kind == "node" else None
+
     def _map(self, e: t.Expr) -> dict[str, S.Value]:
         if isinstance(e, t.MapOf):
             return {k: self.low.expr(v) for k, v in e.items}
@@ -240,7 +267,7 @@ class Writer:
     def remove(self, c: t.Remove) -> None:
         for i in c.items:
             if isinstance(i, t.SetLabels):
-                self.low.graph = set_labels(self.low.graph, self.low.rows().select(F.col(f"`{i.var}`").alias("id")), i.labels, True)
+                self.low.graph = set_labels(self.low.graph, self.low.rows().select(F.col(f"`{i.var}`").alias("id")), i.labels, True, self._tables(i.var))
             else:
                 kind = self.low.scope[i.var].kind
                 have = self.low.graph.nodes if kind == "node" else self.low.graph.edges
@@ -256,7 +283,7 @@ class Writer:
             if self.low.scope[e.name].kind == "edge":
                 self.low.graph = delete_edges(self.low.graph, ids)
             else:
-                self.low.graph = delete_nodes(self.low.graph, ids, c.detach)
+                self.low.graph = delete_nodes(self.low.graph, ids, c.detach, self._tables(e.name))
 
     # MERGE
     def merge(self, c: t.Merge) -> None:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hops of an unbounded pattern.
-UNBOUNDED = 100
+from ..plans.errors import QueryError
+
+#: Hops after which an unbounded pattern is given up with an error. Paths meet no node
+#: twice, so it ends by itself in a graph with shorter simple paths.
+UNBOUNDED = 10_000
 #: Hops after which a frontier is asked whether anything is left of it.
 PROBE_FROM = 4
 
@@ -16,21 +21,28 @@ def expand(rows: DataFrame, start: str, edges: DataFrame, least: int, most: int
     from the node in column start that meets no node twice.
 
     Each hop is an equi-join; paths are arrays of ids. Deep patterns stop as soon as
-    no path is left, which a cheap job finds out.
+    no path is left, which a cheap job finds out; without `most` they go on until
+    then, and raise after UNBOUNDED hops. A hop's table is removed once it is no
+    part of the result and the next is there.
     """
-    most = UNBOUNDED if most is None else most
+    unbounded, most = most is None, UNBOUNDED if most is None else most
     step = edges.select(F.col("s").alias("__s"), F.col("d").alias("__d"))
     frontier = rows.withColumn("__path", F.array(start)).withColumn("__end", F.col(start))
-    out = frontier if least == 0 else None
+    out, last = frontier if least == 0 else None, None
     for depth in range(1, most + 1):
         frontier = frontier.join(step, F.col("__end") == F.col("__s")).filter(~F.array_contains("__path", F.col("__d")))
         frontier = frontier.withColumn("__path", F.array_append("__path", F.col("__d"))).withColumn("__end", F.col("__d")).drop("__s", "__d")
         if most > PROBE_FROM:
-            from .graph import settled
+            from .graph import discard, settled
 
-            frontier = settled(frontier)
+            before, frontier = last, settled(frontier)
+            last = frontier if depth < least else None
+            if before is not None:
+                discard(before)
             if frontier.isEmpty():
                 break
+            if unbounded and depth == most:
+                raise QueryError("execution", "too_deep", f"paths of more than {most} hops")
         if depth >= least:
             out = frontier if out is None else out.unionByName(frontier)
     if out is None:
@@ -38,16 +50,17 @@ def expand(rows: DataFrame, start: str, edges: DataFrame, least: int, most: int
     return out.withColumn(target, F.col("__end")).drop("__path", "__end")
 
 
-def reachable(starts: DataFrame, edges: DataFrame, most: int = UNBOUNDED) -> DataFrame:
-    """start, node, depth: each node within `most` edges (s, d) of each start
-    (column id), itself at 0, once, at its least depth. A breadth-first search of all
-    starts together; what was met before leaves the frontier by an anti-join."""
+def reachable(starts: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """start, node, depth: each node within `most` edges (s, d; None: any number) of
+    each start (column id), itself at 0, once, at its least depth. A breadth-first
+    search of all starts together; what was met before leaves the frontier by an
+    anti-join. It ends when nothing new is met."""
     from .graph import settled
 
     step = edges.select(F.col("s").alias("node"), F.col("d").alias("__d")).distinct()
     seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct()
     frontier = seen
-    for depth in range(1, most + 1):
+    for depth in count(1) if most is None else range(1, most + 1):
         new = frontier.join(step, "node").select("start", F.col("__d").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
         frontier = settled(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():

@@ -272,6 +272,8 @@ class Lowering:
             steps = frame.select(F.col(near).alias("s"), F.col(far).alias("d"))
             if e.direction == "both":
                 steps = steps.unionByName(steps.select(F.col("d").alias("s"), F.col("s").alias("d")))
+            if self.graph.dangling:
+                steps = steps.join(self.graph.node_frame().select(F.col("__id").alias("d")), "d", "left_semi").select("s", "d")
             self.df = varexpand.expand(self.rows(), here, steps, *e.hops, end)
             if e.hops[0] == 0:
                 within = None
@@ -292,10 +294,10 @@ class Lowering:
         self.scope[to] = Bound("node", {}, None, False, within)
         wanted = frozenset(self.graph.tables_for(n.labels, within))
         sure = within is not None and within == wanted and all(x in self.graph.nodes[w].every for w in within for x in n.labels)
-        if sure and not (n.props or (n.var and self.reads(n.var))):
+        if sure and not self.graph.dangling and not (n.props or (n.var and self.reads(n.var))):
             return to
-        if n.labels or n.props or (n.var and self.reads(n.var)) or within is None and not e.hops:
-            if not n.labels and not n.props and not (n.var and self.reads(n.var)):
+        if n.labels or n.props or (n.var and self.reads(n.var)) or within is None and not e.hops or self.graph.dangling:
+            if not n.labels and not n.props and not (n.var and self.reads(n.var)) and not self.graph.dangling:
                 return to  # an edge's ends exist
             at, key = to, self.new("key")
             target, bound = self.scan(at, n.labels, within)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as V
 from ..operators import diff, fts, knn, mutate, varexpand
+from ..operators.graph import scratch
 from ..plans.lower import Lowering
 from ..plans.parser import parse
 from ..plans.semantic import analyze
@@ -210,8 +211,17 @@ _TOK = "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+
 _SCORED = " SELECT doc_id, round(sum(s), 6) AS score FROM sc WHERE w IN ({terms}) GROUP BY doc_id HAVING count(*) >= {least}"
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> fts.TextIndex:
-    return fts.TextIndex(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text"))
+#: The index that was built last: its session, its folder, whether it is stemmed.
+_INDEX: list = []
+
+
+def _docs(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> fts.TextIndex:
+    """The stored index of the documents, built once for one folder after another."""
+    key = [spark, sf_dir, stemmed]
+    if _INDEX[:3] != key:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+        _INDEX[:] = [*key, fts.TextIndex(docs, stemmed).build(scratch(spark, "text"))]
+    return _INDEX[3]
 
 
 def _search(name: str, sql: str | None, call: Callable[[fts.TextIndex], DataFrame]) -> None:
