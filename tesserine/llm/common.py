@@ -77,10 +77,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a small table that one task writes.
+TASK_ROWS = 1 << 18
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends
-    here, and a lost executor costs nothing that was computed before."""
+    here, and a lost executor costs nothing that was computed before. Where about
+    so many rows are expected, and these are few, few tasks write them."""
     path = scratch(df.sparkSession, name)
+    if rows is not None and rows // TASK_ROWS + 1 < parallelism(df.sparkSession):
+        df = df.coalesce(rows // TASK_ROWS + 1)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

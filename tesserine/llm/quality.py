@@ -194,10 +194,10 @@ def _added(table: DataFrame, *keys: str) -> DataFrame:
     return table.groupBy(*keys).agg(*[F.sum(F.col(c).cast("decimal(20,0)") if dict(table.dtypes)[c] == "bigint" else F.col(c)).alias(c) for c in SUMS])
 
 
-def _met(rows: DataFrame, params: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, params: DataFrame, groups: int) -> DataFrame:
     """rows (grp, h: a hash) with the other columns of params (grp, ...; stored), of
-    which each group has one row."""
-    if params.count() <= BROADCAST_GROUPS:
+    which each of so many groups has one row."""
+    if groups <= BROADCAST_GROUPS:
         return rows.join(F.broadcast(params), "grp")
     salted = params.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("__salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, ["grp", "__salt"]).drop("__salt")
@@ -240,15 +240,17 @@ def _estimated(sums: list, _: dict) -> dict:
     return {"mu": mu, "inv": inv}
 
 
-def _gathered(params: DataFrame) -> DataFrame:
-    """One row for each group: mu and inv as arrays by start."""
-    return common.stored(params.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("start", "mu", "inv"))).alias("p")).select("grp", F.col("p.mu").alias("mu"), F.col("p.inv").alias("inv")), "mcd-params")  # STARTS entries
+def _gathered(params: DataFrame, groups: int) -> DataFrame:
+    """One row for each group: mu, inv and det as arrays by start."""
+    det = F.col("det") if "det" in params.columns else F.lit(0.0)
+    wide = params.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("start", "mu", "inv", det.alias("det")))).alias("p"))  # STARTS entries
+    return common.stored(wide.select("grp", F.col("p.mu").alias("mu"), F.col("p.inv").alias("inv"), F.col("p.det").alias("det")), "mcd-params", groups)
 
 
-def _binned(rows: DataFrame, params: DataFrame) -> DataFrame:
+def _binned(rows: DataFrame, params: DataFrame, groups: int) -> DataFrame:
     """lang, grp, start, bin and SUMS of the rows in each bin of distance."""
     x = [F.col(f"x{i}") for i in range(FEATURES)]
-    met = _met(rows, params)
+    met = _met(rows, params.select("grp", "mu", "inv"), groups)
     each = F.transform(F.arrays_zip("mu", "inv"), lambda p: _bin(squared(x, p["mu"], p["inv"])))
     return met.select("lang", "grp", *x, F.posexplode(each).alias("start", "bin")).groupBy("lang", "grp", "start", "bin").agg(*_sums(x))
 
@@ -269,17 +271,19 @@ def _medians(rows: DataFrame) -> DataFrame:
     return common.stored(wide.select("grp", F.col("a.m").alias("m"), F.col("a.r").alias("r")), "mcd-medians")
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    """Estimates to begin with, gathered: diagonal ones; and those whose correlations
-    are of squashed values, and of directions from the medians."""
+def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Estimates to begin with, gathered, and the number of groups: diagonal ones; and
+    those whose correlations are of squashed values, and of directions from the
+    medians."""
     medians = _medians(rows)
+    groups = medians.count()
     z = [(F.col(f"x{i}") - F.col("m")[i]) / F.col("r")[i] for i in range(FEATURES)]
     size = F.greatest(F.sqrt(sum((v * v for v in z), F.lit(0.0))), F.lit(1e-9))
     unit = 1 << 12  # as integers, whose sums don't depend on their order
     values = [[F.round(f(v) * unit).cast("long") for v in z] for f in (F.tanh, lambda v: v / size)]
     made = [F.struct(F.lit(k + 1).alias("start"), *[c.alias(f"y{i}") for i, c in enumerate(v)]) for k, v in enumerate(values)]
     y = [F.col(f"y{i}") for i in range(FEATURES)]
-    sums = _met(rows, medians).select("lang", "grp", F.explode(F.array(*made)).alias("e")).select("lang", "grp", "e.*").groupBy("lang", "grp", "start").agg(*_sums(y))
+    sums = _met(rows, medians, groups).select("lang", "grp", F.explode(F.array(*made)).alias("e")).select("lang", "grp", "e.*").groupBy("lang", "grp", "start").agg(*_sums(y))
 
     def solve(v: list, r: dict) -> dict:
         n, s, q = v[0], v[1 : FEATURES + 1], v[FEATURES + 1 :]
@@ -295,9 +299,9 @@ def _starts(rows: DataFrame) -> DataFrame:
         inv = np.linalg.inv(np.linalg.cholesky(cor * np.outer(r["r"], r["r"])))
         return {"mu": r["m"], "inv": [float(inv[i, j]) for i in range(FEATURES) for j in range(i + 1)]}
 
-    others = _solved(common.stored(sums.join(medians, "grp"), "mcd-signs"), ESTIMATE, solve)
+    others = _solved(common.stored(sums.join(medians, "grp"), "mcd-signs", STARTS * groups), ESTIMATE, solve)
     inv = [1 / F.col("r")[i] if i == j else F.lit(0.0) for i in range(FEATURES) for j in range(i + 1)]
-    return _gathered(medians.select("grp", F.lit(0).alias("start"), F.col("m").alias("mu"), F.array(*inv).alias("inv")).unionByName(others))
+    return _gathered(medians.select("grp", F.lit(0).alias("start"), F.col("m").alias("mu"), F.array(*inv).alias("inv")).unionByName(others), groups), groups
 
 
 def _least(sums: list, _: dict) -> dict:
@@ -306,29 +310,28 @@ def _least(sums: list, _: dict) -> dict:
     return {"mu": mu, "inv": inv, "det": -2 * sum(float(np.log(inv[i])) for i in k)}
 
 
-def fit(rows: DataFrame) -> DataFrame:
-    """Estimates of each group of rows (lang, grp, h, x0..): grp, mu, inv, unit,
-    where unit is what a squared distance is divided by."""
-    params = _starts(rows)
+def fit(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Estimates of each group of rows (lang, grp, h, x0..), and their number: grp, mu,
+    inv, unit, where unit is what a squared distance is divided by."""
+    params, groups = _starts(rows)
     before = None
     for _ in range(STEPS):
-        table = common.stored(_binned(rows, params), "mcd-bins")
-        inside = common.stored(_added(_within(table, F.col("before") < F.ceil(F.col("all") * SUBSET)), "lang", "grp", "start"), "mcd-inside")
+        within = _within(_binned(rows, params, groups), F.col("before") < F.ceil(F.col("all") * SUBSET))
+        inside = common.stored(_added(within, "lang", "grp", "start"), "mcd-inside", STARTS * groups)
         state = inside.agg(F.count(F.lit(1)), F.sum(F.xxhash64("grp", "start", *SUMS).cast("decimal(38,0)"))).first()
-        solved = common.stored(_solved(inside, f"{ESTIMATE}, det double", _least), "mcd-step")
         if state == before:
             break
-        params, before = _gathered(solved), state
-    best = solved.groupBy("grp").agg(F.min_by(F.struct("mu", "inv"), F.struct("det", "start")).alias("b")).select("grp", F.lit(0).alias("start"), "b.mu", "b.inv")
-    params = _gathered(best)
-    table = common.stored(_binned(rows, params), "mcd-bins")
+        params, before = _gathered(_solved(inside, f"{ESTIMATE}, det double", _least), groups), state
+    one = F.array_min(F.transform(F.arrays_zip("det", "mu", "inv"), lambda p, i: F.struct(p["det"].alias("det"), i.alias("start"), p["mu"].alias("mu"), p["inv"].alias("inv"))))
+    best = params.select("grp", one.alias("b")).select("grp", F.array("b.mu").alias("mu"), F.array("b.inv").alias("inv"))
+    table = common.stored(_binned(rows, common.stored(best, "mcd-best", groups), groups), "mcd-bins", 100 * groups)
     units = _units(table).select("grp", F.expr(f"unit * {REWEIGHT}").alias("most"))
     near = F.pow(F.lit(2.0), (F.col("bin") + 1) / float(BINS_PER_DOUBLING)) - 2.0**LEAST_LOG <= F.col("most")
     # the nearest bin stays in any case, so that there is an estimate
     inside = _within(table.join(units, "grp"), near | (F.col("before") == 0))
-    params = _gathered(_solved(common.stored(_added(inside, "lang", "grp", "start"), "mcd-inside"), ESTIMATE, _estimated))
-    units = _units(common.stored(_binned(rows, params), "mcd-bins"))
-    return common.stored(params.join(units, "grp").select("grp", F.col("mu")[0].alias("mu"), F.col("inv")[0].alias("inv"), "unit"), "mcd")
+    params = _gathered(_solved(common.stored(_added(inside, "lang", "grp", "start"), "mcd-inside", groups), ESTIMATE, _estimated), groups)
+    units = _units(common.stored(_binned(rows, params, groups), "mcd-bins", 100 * groups))
+    return common.stored(params.join(units, "grp").select("grp", F.col("mu")[0].alias("mu"), F.col("inv")[0].alias("inv"), "unit"), "mcd", groups), groups
 
 
 def _units(table: DataFrame) -> DataFrame:
@@ -344,12 +347,12 @@ def _units(table: DataFrame) -> DataFrame:
         return cum.groupBy(key).agg(size.alias(name), F.first("all").alias(f"{name}_n"))
 
     own = medians(counted(table, "grp"), "grp", "own").join(table.select("grp", "lang").distinct(), "grp")
-    by_lang = common.stored(counted(table, "lang"), "mcd-langs")
+    by_lang = counted(table, "lang")
     lang = medians(by_lang, "lang", "wide")
     every = medians(counted(by_lang.withColumn("one", F.lit(1)), "one"), "one", "all").select("all")
     rest = lang.crossJoin(F.broadcast(every)).select("lang", ((F.col("wide_n") * F.col("wide") + PRIOR_ROWS * F.col("all")) / (F.col("wide_n") + PRIOR_ROWS)).alias("wide"))  # one row
     unit = (F.col("own_n") * F.col("own") + PRIOR_ROWS * F.col("wide")) / (F.col("own_n") + PRIOR_ROWS)
-    return common.stored(own.join(rest, "lang").select("grp", F.greatest(F.lit(1.0), unit).alias("unit")), "mcd-units")
+    return own.join(rest, "lang").select("grp", F.greatest(F.lit(1.0), unit).alias("unit"))
 
 
 def _grouped(counted: DataFrame) -> DataFrame:
@@ -358,8 +361,8 @@ def _grouped(counted: DataFrame) -> DataFrame:
     return rows.select("*", *[F.when(~F.col("base_failed"), x).alias(f"x{i}") for i, x in enumerate(_features())])
 
 
-def model(counted: DataFrame) -> DataFrame:
-    """The estimates (see fit) of counted rows (a stored table, see counts())."""
+def model(counted: DataFrame) -> tuple[DataFrame, int]:
+    """The estimates and their number (see fit) of counted rows (a stored table, see counts())."""
     rows = _grouped(counted).filter(~F.col("base_failed")).select("lang", "grp", "h", *[f"x{i}" for i in range(FEATURES)])
     return fit(common.stored(rows, "mcd-vectors"))
 
@@ -369,7 +372,7 @@ def judge(counted: DataFrame) -> DataFrame:
     the base rules fail) and kept."""
     rows, x = _grouped(counted), [F.col(f"x{i}") for i in range(FEATURES)]
     failed = rows.filter("base_failed").withColumn("distance", F.lit(None).cast("double"))
-    met = _met(rows.filter(~F.col("base_failed")), model(counted)).withColumn("distance", squared(x, F.col("mu"), F.col("inv")) / F.col("unit")).drop("mu", "inv", "unit")
+    met = _met(rows.filter(~F.col("base_failed")), *model(counted)).withColumn("distance", squared(x, F.col("mu"), F.col("inv")) / F.col("unit")).drop("mu", "inv", "unit")
     return failed.unionByName(met).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= CUTOFF)).drop("grp", "h", *[f"x{i}" for i in range(FEATURES)])
 
 

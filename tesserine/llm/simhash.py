@@ -115,20 +115,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     number of rounds grows with the logarithm of a component's size.
     """
     edges = common.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "cc-edges")
-    before = None
+    before, n = None, edges.count()
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        new = common.stored(small, "cc-round")
+        new = common.stored(small, "cc-round", n)
         state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         common.discard(edges)
         edges = new
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+        before, n = state, state[0]
     raise RuntimeError(f"components are not stable after {rounds} rounds")
 
 
