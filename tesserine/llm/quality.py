@@ -257,14 +257,10 @@ def _binned(rows: DataFrame, params: DataFrame, groups: int) -> DataFrame:
 
 def _medians(rows: DataFrame) -> DataFrame:
     """grp with medians m and quartile ranges r (in steps of SCALE) of each feature,
-    counted in bins of 20."""
+    from counts of bins of 20, which tasks make before they are dealt."""
     long = rows.select("grp", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(FEATURES)])).alias("j", "x"))
-    counted = long.groupBy("grp", "j", F.floor(F.col("x") / 20).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("grp", "j")
-    run = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counted.withColumn("cum", F.sum("c").over(run)).withColumn("all", F.sum("c").over(w))
-    at = lambda share: F.min(F.when(F.col("cum") >= F.ceil(F.col("all") * share), F.col("bin")))
-    found = cum.groupBy("grp", "j").agg(at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"))
+    found = long.groupBy("grp", "j").agg(F.percentile(F.floor(F.col("x") / 20), [0.25, 0.5, 0.75]).alias("b"))
+    found = found.select("grp", "j", F.col("b")[0].alias("lo"), F.col("b")[1].alias("mid"), F.col("b")[2].alias("hi"))
     floors = F.element_at(F.array(*[F.lit((f * SCALE) ** 2) for f in FLOORS]), F.col("j") + 1)
     spread = (F.col("hi") - F.col("lo")) * 20 / 1.349
     wide = found.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("j", (F.col("mid") * 20 + 10.0).alias("m"), F.sqrt(spread * spread + floors).alias("r")))).alias("a"))  # five entries
