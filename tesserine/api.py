@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import replace
 from typing import Any
@@ -9,12 +11,15 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import diff, fts, knn, mutate
-from .operators.graph import Graph, settled, union
+from .operators import diff, knn, mutate
+from .operators.graph import EdgeTable, Graph, NodeTable, names_in, read_text, remove, settled, union, write_text
 from .plans.cache import QueryCache
 from .plans.errors import QueryError
 from .plans.lower import Lowering
-from .streaming.log import CHANGES, StreamLog, check_name
+from .streaming.log import CHANGES, StreamLog, check_name, follow
+
+#: Parts of a log from which on a save makes one of them.
+MANY_PARTS = 64
 
 
 class TransactionError(Exception):
@@ -22,11 +27,118 @@ class TransactionError(Exception):
 
 
 class Database:
-    """A graph with its streams. A commit replaces the snapshot at once."""
+    """A graph with its streams. A commit replaces the snapshot at once.
+
+    With a root folder a commit is durable: tables that are new are written under
+    root/tables, parts of streams under root/records, and then one manifest that
+    names them all and its version. open() goes on from the manifest with the
+    highest version. One process writes at a time; of two that commit the same
+    version the later fails. compact() removes what no manifest names any more.
+    """
 
     def __init__(self, spark: SparkSession, graph: Graph | None = None, changefeed: bool = False, dims: int | None = None):
         self.spark, self.graph, self.streams = spark, graph or Graph(spark), StreamLog(spark)
         self.changefeed, self.dims, self.cache = changefeed, dims, QueryCache()
+        self.root: str | None = None
+        self.closed = False
+        self._saved: list[tuple[DataFrame, str]] = []  # tables that lie under the root
+
+    # the root folder
+    @staticmethod
+    def open(spark: SparkSession, root: str, create: bool = True, read_only: bool = False, changefeed: bool | None = None, dims: int | None = None) -> Database:
+        """The database under a folder, a new one if there is none."""
+        db = Database(spark, changefeed=bool(changefeed), dims=dims)
+        db.root = root.rstrip("/")
+        found = [n for n in names_in(spark, f"{db.root}/manifests") if n.endswith(".json")]
+        if found:
+            db._load(json.loads(read_text(spark, f"{db.root}/manifests/{found[-1]}")))
+            db.changefeed = db.changefeed if changefeed is None else changefeed
+        elif not create or read_only:
+            raise FileNotFoundError(root)
+        else:
+            db.save()
+        db.read_only = read_only
+        return db
+
+    read_only = False
+
+    def _table(self, path: str) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.root}/{path}")
+        self._saved.append((df, path))
+        return df
+
+    def _path(self, df: DataFrame, kind: str = "tables") -> str:
+        """Where a table lies under the root; it is written if it doesn't yet."""
+        for known, path in self._saved:
+            if known is df:
+                return path
+        path = f"{kind}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{path}")
+        self._saved.append((df, path))
+        return path
+
+    def save(self) -> None:
+        """Writes what is new and a manifest of this version."""
+        g, s = self.graph, self.streams
+        if len(s.parts) > MANY_PARTS:
+            s.parts = (s.records,)
+        manifest = {
+            "version": g.version, "next_node": g.next_node, "next_edge": g.next_edge, "dangling": g.dangling, "dims": self.dims, "changefeed": self.changefeed,
+            "nodes": {n: {"path": self._path(t.df), "every": sorted(t.every), "some": sorted(t.some)} for n, t in g.nodes.items()},
+            "edges": {n: {"path": self._path(t.df), "src": t.src and sorted(t.src), "dst": t.dst and sorted(t.dst)} for n, t in g.edges.items()},
+            "vectors": None if g.vectors is None else self._path(g.vectors), "docs": None if g.docs is None else self._path(g.docs),
+            "records": [self._path(p, "records") for p in s.parts], "last": s.last, "trimmed": s.trimmed, "offsets": [[*k, n] for k, n in s.offsets.items()],
+        }
+        if not write_text(self.spark, f"{self.root}/manifests/{g.version:012d}.json", json.dumps(manifest)):
+            raise TransactionError("another process has committed this version")
+
+    def _load(self, m: dict) -> None:
+        some = lambda x: None if x is None else frozenset(x)
+        nodes = {n: NodeTable(self._table(t["path"]), frozenset(t["every"]), frozenset(t["some"])) for n, t in m["nodes"].items()}
+        edges = {n: EdgeTable(self._table(t["path"]), some(t["src"]), some(t["dst"])) for n, t in m["edges"].items()}
+        one = lambda p: None if p is None else self._table(p)
+        self.graph = Graph(self.spark, nodes, edges, one(m["vectors"]), one(m["docs"]), m["next_node"], m["next_edge"], m["version"], m["dangling"])
+        self.streams = StreamLog(self.spark, tuple(self._table(p) for p in m["records"]), m["last"], {(a, b): n for a, b, n in m["offsets"]}, m["trimmed"])
+        self.dims, self.changefeed = m["dims"] if self.dims is None else self.dims, m["changefeed"]
+
+    def compact(self) -> int:
+        """Removes older manifests, and tables and records that the newest doesn't name;
+        returns how many."""
+        manifests = [n for n in names_in(self.spark, f"{self.root}/manifests") if n.endswith(".json")]
+        m = json.loads(read_text(self.spark, f"{self.root}/manifests/{manifests[-1]}"))
+        used = {t["path"] for k in ("nodes", "edges") for t in m[k].values()} | {m["vectors"], m["docs"], *m["records"]}
+        gone = [f"manifests/{n}" for n in manifests[:-1]] + [p for k in ("tables", "records") for n in names_in(self.spark, f"{self.root}/{k}") if (p := f"{k}/{n}") not in used]
+        for path in gone:
+            remove(self.spark, f"{self.root}/{path}")
+        return len(gone)
+
+    def check(self) -> list[str]:
+        """What is wrong with the graph: repeated ids, edges without ends."""
+        found = []
+        nodes, edges = self.graph.node_frame(), self.graph.edge_frame()
+        for what, frame in (("node", nodes), ("edge", edges)):
+            if frame is not None and not frame.groupBy("__id").count().filter("count > 1").isEmpty():
+                found.append(f"{what} ids repeat")
+        if edges is not None:
+            ids = None if nodes is None else nodes.select(F.col("__id").alias("__n"))
+            ends = edges.select(F.explode(F.array("__src", "__dst")).alias("__e"))
+            if ids is None or not ends.join(ids, F.col("__e") == F.col("__n"), "left_anti").isEmpty():
+                found.append("edges lead to nodes that aren't there")
+        return found
+
+    def close(self) -> None:
+        """Ends the use of this object; what was committed is saved already."""
+        self.closed = True
+
+    def __enter__(self) -> Database:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def follow(self, sink, checkpoint: str, **trigger):
+        """A Structured Streaming query over all committed records (see log.follow)."""
+        return follow(self.spark, f"{self.root}/records/*", sink, checkpoint, **trigger)
 
     # transactions
     def read(self) -> Transaction:
@@ -71,7 +183,7 @@ class Database:
         return self.read_stream(CHANGES, after_sequence, limit, timeout_ms)
 
     def info(self) -> dict:
-        return {"version": self.graph.version, "nodes": self.node_count(), "edges": self.edge_count(), "dims": self.dims, **self.graph.schema()}
+        return {"version": self.graph.version, "node_count": self.node_count(), "edge_count": self.edge_count(), "dims": self.dims, "schema": self.graph.schema()}
 
     def cache_stats(self) -> dict[str, int]:
         return self.cache.stats()
@@ -85,8 +197,11 @@ class Transaction:
     or rolls back on an exception."""
 
     def __init__(self, db: Database, writable: bool):
-        self.db, self.writable, self.open = db, writable, True
-        self.base, self.graph, self.streams = db.graph, db.graph, db.streams.copy()
+        if db.closed:
+            raise TransactionError("the database is closed")
+        self.db, self.writable, self.open = db, writable and not db.read_only, True
+        self.base, self.graph = db.graph, db.graph
+        self.base_streams, self.streams = db.streams, db.streams.copy()
 
     def __enter__(self) -> Transaction:
         return self
@@ -102,22 +217,35 @@ class Transaction:
             raise TransactionError("the transaction is read-only")
 
     def commit(self) -> None:
+        """Makes the snapshot and streams the database's. Fails, and changes nothing, if
+        another transaction has changed the graph meanwhile, or appended to a stream
+        that this one appended to; other changes of streams are put together."""
         self._check()
         self.open = False
-        if not self.writable:
+        changed = self.graph is not self.base
+        if not self.writable or not changed and self.streams == self.base_streams:
             return
-        if self.graph is not self.base:
-            if self.db.graph is not self.base:
-                raise TransactionError("another transaction has committed since this one began")
-            if self.db.changefeed:
-                events = diff.changes(self.base, self.graph)
-                payload = F.to_json(F.struct(*[c for c in events.columns if c != "kind"]))
-                order = ["entity", "node_id", "edge_id", "rank", "payload"]
-                rank = F.when(F.col("op") == "insert", 0).when(F.col("op").startswith("label"), 1).when(F.col("op") == "property_remove", 2).when(F.col("op") == "property_set", 3).otherwise(4)
-                rows = events.select("kind", payload.alias("payload"), F.when(F.col("entity") == "node", 0).otherwise(1).alias("entity"), "node_id", "edge_id", rank.alias("rank"))
-                self.streams.append(CHANGES, rows, order)
-            self.db.graph = replace(self.graph, version=self.base.version + 1)
-        self.db.streams = self.streams
+        if changed and self.db.graph is not self.base:
+            raise TransactionError("another transaction has committed since this one began")
+        try:
+            streams = self.streams.onto(self.base_streams, self.db.streams)
+        except ValueError as e:
+            raise TransactionError(str(e)) from None
+        if changed and self.db.changefeed:
+            events = diff.changes(self.base, self.graph)
+            payload = F.to_json(F.struct(*[c for c in events.columns if c != "kind"]))
+            order = ["entity", "node_id", "edge_id", "rank", "payload"]
+            rank = F.when(F.col("op") == "insert", 0).when(F.col("op").startswith("label"), 1).when(F.col("op") == "property_remove", 2).when(F.col("op") == "property_set", 3).otherwise(4)
+            rows = events.select("kind", payload.alias("payload"), F.when(F.col("entity") == "node", 0).otherwise(1).alias("entity"), "node_id", "edge_id", rank.alias("rank"))
+            streams.append(CHANGES, rows, order)
+        before = self.db.graph, self.db.streams
+        self.db.graph, self.db.streams = replace(self.graph if changed else self.db.graph, version=self.db.graph.version + 1), streams
+        if self.db.root is not None:
+            try:
+                self.db.save()
+            except BaseException:
+                self.db.graph, self.db.streams = before
+                raise
 
     def rollback(self) -> None:
         self._check()
@@ -288,10 +416,10 @@ class Transaction:
             self.graph = replace(self.graph, docs=settled(self.graph.docs.filter(F.col("id") != node)))
 
     def fts_search(self, query: str, limit: int | None = 10) -> DataFrame:
-        return fts.TextIndex(self.graph.docs).search_mode(query, limit)
+        return self.graph.index().search_mode(query, limit)
 
     def fts_search_fuzzy(self, query: str, limit: int | None = 10, max_distance: int = 0, min_term_length: int = 0) -> DataFrame:
-        return fts.TextIndex(self.graph.docs).search_fuzzy(query, limit, max_distance, min_term_length)
+        return self.graph.index().search_fuzzy(query, limit, max_distance, min_term_length)
 
     # streams
     def publish_stream(self, name: str, payload: Any, kind: str = "message") -> int:

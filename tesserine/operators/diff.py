@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .graph import EDGE_KEYS, NODE_KEYS, Graph, union
 
 EVENT = "kind string, entity string, op string, node_id long, edge_id long, source_id long, target_id long, type string, label string, key string, old_value string, new_value string"
-#: Values whose text is longer are replaced by a summary.
+#: Values whose text is longer are given as a summary; they are compared whole.
 MAX_VALUE = 1 << 16
 
 
@@ -25,6 +25,10 @@ def _frames(old: Graph, new: Graph, what: str) -> tuple[DataFrame | None, DataFr
 
 def _text(c: Column) -> Column:
     raw = F.get_json_object(F.to_json(F.struct(c.alias("v"))), "$.v")
+    return raw
+
+
+def _shown(raw: Column) -> Column:
     summary = F.to_json(F.struct(F.lit(True).alias("__value_omitted"), F.octet_length(raw).alias("encoded_bytes")))
     return F.when(F.octet_length(raw) > MAX_VALUE, summary).otherwise(raw)
 
@@ -73,7 +77,7 @@ def _events(a: DataFrame | None, b: DataFrame | None, node: bool, spark) -> Data
     return flat.select(
         F.concat(F.lit(f"{name}."), "e.op").alias("kind"), F.lit(name).alias("entity"), F.col("e.op").alias("op"),
         number(ident if node else None).alias("node_id"), number(None if node else ident).alias("edge_id"), number(ends[0]).alias("source_id"), number(ends[1]).alias("target_id"), ends[2].alias("type"),
-        F.col("e.label"), F.col("e.key"), F.col("e.old_value"), F.col("e.new_value"),
+        F.col("e.label"), F.col("e.key"), _shown(F.col("e.old_value")).alias("old_value"), _shown(F.col("e.new_value")).alias("new_value"),
     )
 
 

@@ -203,3 +203,44 @@ def discard(df: DataFrame) -> None:
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file that must not exist yet: whole, or not at all. Whether it
+    was this call that made it."""
+    fs, target = _file(spark, path)
+    if fs.exists(target):
+        return False
+    draft = _file(spark, f"{path}.{uuid.uuid4().hex}.tmp")[1]
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(target) or not fs.rename(draft, target):
+        fs.delete(draft, False)
+        return False
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, target = _file(spark, path)
+    stream = fs.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    fs, target = _file(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = _file(spark, path)
+    fs.delete(target, True)

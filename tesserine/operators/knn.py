@@ -106,7 +106,7 @@ class InvertedLists:
         self.dims = sizes[0]["n"] if sizes else 0
         vectors = vectors.filter(F.size("embedding") == self.dims)
         part = vectors.select("embedding").orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-        x = np.array([r[0] for r in part.collect()], np.float64).reshape(-1, self.dims)
+        x = np.array([r[0] for r in part.collect()], np.float64).reshape(-1, max(1, self.dims))
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
         rng = np.random.default_rng(seed)
         c = x[rng.choice(len(x), min(lists, len(x)), replace=False)] if len(x) else x

@@ -72,21 +72,27 @@ def _add_edges(g: Graph, joined: DataFrame, props: list[str], skip_errors: bool)
     return replace(g, next_edge=after)
 
 
-def _inferred(df: DataFrame, name: str) -> Column:
-    """A CSV column as integers if all of it is, else as floats, else as strings."""
-    c = F.col(f"`{name}`")
-    has = df.agg(F.coalesce(F.bool_and(c.isNull() | c.rlike("^[+-]?[0-9]{1,18}$")), F.lit(True)), F.coalesce(F.bool_and(c.isNull() | c.try_cast("double").isNotNull()), F.lit(True))).first()
-    return (c.try_cast("long") if has[0] else c.try_cast("double") if has[1] else c).alias(name)
+def _inferred(df: DataFrame, names: list[str]) -> list[Column]:
+    """CSV columns as integers if all of one is, else as floats, else as strings. All
+    columns are looked at in one pass. Integers beyond 64 bits stay strings, as a
+    float would change them."""
+    tests = []
+    for i, name in enumerate(names):
+        c = F.col(f"`{name}`")
+        whole = c.rlike("^[+-]?[0-9]+$")
+        tests += [F.coalesce(F.bool_and(c.isNull() | whole & c.try_cast("long").isNotNull()), F.lit(True)).alias(f"i{i}"), F.coalesce(F.bool_and(c.isNull() | c.try_cast("double").isNotNull() & ~(whole & c.try_cast("long").isNull())), F.lit(True)).alias(f"d{i}")]
+    has = df.agg(*tests).first() if names else None
+    return [(F.col(f"`{n}`").try_cast("long") if has[f"i{i}"] else F.col(f"`{n}`").try_cast("double") if has[f"d{i}"] else F.col(f"`{n}`")).alias(n) for i, n in enumerate(names)]
 
 
 def import_csv(g: Graph, nodes: str, edges: str | None = None) -> Graph:
     """Adds nodes from _id, _labels (with ; between them) and property columns, and
     edges from _source, _target and _type."""
-    raw = g.spark.read.csv(nodes, header=True)
+    raw = g.spark.read.csv(nodes, header=True, escape='"')
     if "_id" not in raw.columns or "_labels" not in raw.columns:
         raise ValueError("the node file needs _id and _labels")
     props = [c for c in raw.columns if c not in ("_id", "_labels")]
-    rows = raw.select(F.col("_id").alias("__key"), F.filter(F.split(F.coalesce("_labels", F.lit("")), ";"), lambda x: x != "").alias("__labels"), *[_inferred(raw, p) for p in props])
+    rows = raw.select(F.col("_id").alias("__key"), F.filter(F.split(F.coalesce("_labels", F.lit("")), ";"), lambda x: x != "").alias("__labels"), *_inferred(raw, props))
     numbered, after = mutate.numbered(rows, "__id", g.next_node)
     numbered = settled(numbered)
     for (labels,) in numbered.select(F.sort_array("__labels")).distinct().collect():  # one row for each set of labels
@@ -95,7 +101,7 @@ def import_csv(g: Graph, nodes: str, edges: str | None = None) -> Graph:
     g = replace(g, next_node=after)
     if edges is None:
         return g
-    raw = g.spark.read.csv(edges, header=True)
+    raw = g.spark.read.csv(edges, header=True, escape='"')
     keys = numbered.select("__key", "__id")
     joined = raw.select(F.col("_source").alias("s"), F.col("_target").alias("d"), F.col("_type").alias("__type")).join(keys.select(F.col("__key").alias("s"), F.col("__id").alias("__src")), "s", "left").join(keys.select(F.col("__key").alias("d"), F.col("__id").alias("__dst")), "d", "left")
     return _add_edges(g, joined.drop("s", "d"), [], False)
@@ -151,8 +157,8 @@ def export_csv(g: Graph, path: str, labels: str | None = None) -> None:
     frame = g.node_frame()
     props = [c for c in frame.columns if c not in NODE_KEYS] if frame is not None else []
     flat = nodes.select("id").join(frame, F.col("id") == F.col("__id")) if frame is not None else nodes
-    flat.select(F.col("id").alias("_id"), F.concat_ws(";", "__labels").alias("_labels"), *[F.col(f"`{p}`").cast("string").alias(p) for p in props]).write.csv(f"{path}/nodes", header=True)
-    edges.select(F.col("source").alias("_source"), F.col("target").alias("_target"), F.col("type").alias("_type")).write.csv(f"{path}/edges", header=True)
+    flat.select(F.col("id").alias("_id"), F.concat_ws(";", "__labels").alias("_labels"), *[F.col(f"`{p}`").cast("string").alias(p) for p in props]).write.csv(f"{path}/nodes", header=True, escape='"')
+    edges.select(F.col("source").alias("_source"), F.col("target").alias("_target"), F.col("type").alias("_type")).write.csv(f"{path}/edges", header=True, escape='"')
 
 
 def _whole(g: Graph, parts: list[tuple[str, DataFrame | None, list[str], str]], path: str) -> None:
