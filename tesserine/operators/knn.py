@@ -110,7 +110,7 @@ class InvertedLists:
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
         rng = np.random.default_rng(seed)
         c = x[rng.choice(len(x), min(lists, len(x)), replace=False)] if len(x) else x
-        for _ in range(rounds):
+        for _ in range(rounds if len(c) else 0):
             near = (x @ c.T).argmax(1)
             for j in range(len(c)):
                 own = x[near == j]
