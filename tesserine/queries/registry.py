@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -244,6 +245,7 @@ _search("fts_fuzzy", _TOK + ", near AS (SELECT w, 1 - (levenshtein(w, 'ertion')
 _search("fts_top_k", _TOK + " SELECT doc_id, round(sum(s), 6) AS score FROM sc WHERE w IN ('ertion', 'inly') GROUP BY doc_id ORDER BY sum(s) DESC, doc_id LIMIT 10", lambda i: i.search_or("ertion inly", 10))
 pattern("fts_join_graph", "MATCH (d:Document) WHERE d.text @@ 'ertion' AND d.lang = 'en' RETURN d.doc_id AS doc_id, d.source AS source", _TOK + " SELECT d.doc_id, d.source FROM documents d JOIN tf ON tf.doc_id = d.doc_id AND tf.w = 'ertion' WHERE d.lang = 'en'")
 pattern("fts_generic_match", "MATCH (d:Document) WHERE d.n_chars < 0 OR d.text @@ 'ertion inly' RETURN d.doc_id AS doc_id", "SELECT doc_id FROM documents WHERE contains(lower(text), 'ertion') AND contains(lower(text), 'inly')")
+QUERIES["fts_stemmed"] = lambda spark, sf_dir: _docs(spark, sf_dir, True).search_or("ertions inlying").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 QUERIES["fts_highlight"] = lambda spark, sf_dir: _docs(spark, sf_dir).highlight("ertion").select(F.col("id").alias("doc_id"), F.size("snippets").alias("n"))
 
 # vectors
@@ -335,6 +337,33 @@ def _stream_append_trim_all(spark, sf_dir):
     return _append_trim(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def _logged(spark: SparkSession, sf_dir: str) -> log.StreamLog:
+    """The events as a log of one stream for each of the few event types."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("kind"), F.to_json(F.struct("event_id")).alias("payload"), "event_id")
+    made = log.StreamLog(spark)
+    for (kind,) in events.select("kind").distinct().orderBy("kind").collect():
+        made.append(kind, events.filter(F.col("kind") == kind), ["event_id"])
+    return made
+
+
+@_query("stream_log_read", "SELECT event_type AS stream, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS sequence, event_id FROM events QUALIFY sequence > 3 AND sequence <= 10")
+def _stream_log_read(spark, sf_dir):
+    """Seven records after the third of each stream, by the log's own read."""
+    made = _logged(spark, sf_dir)
+    parts = [made.read(s, 3, 7).select(F.lit(s).alias("stream"), "sequence", F.get_json_object("payload", "$.event_id").cast("long").alias("event_id")) for s in sorted(made.last)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@_query("stream_log_offsets", "SELECT event_type AS stream, 'half' AS consumer, count(*) AS last_sequence, count(*) // 2 AS stored, count(*) - count(*) // 2 AS rest FROM events GROUP BY event_type")
+def _stream_log_offsets(spark, sf_dir):
+    """Offsets of a consumer half-way through each stream, and what is left for it."""
+    made = _logged(spark, sf_dir)
+    for s, n in made.last.items():
+        made.set_offset(s, "half", n // 2)
+    parts = [made.read(s, made.offset(s, "half")).agg(F.count(F.lit(1)).alias("rest")).select(F.lit(s).alias("stream"), F.lit("half").alias("consumer"), F.lit(made.last_sequence(s)).cast("long").alias("last_sequence"), F.lit(made.offset(s, "half")).cast("long").alias("stored"), "rest") for s in sorted(made.last)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @_query("stream_continuous", "SELECT event_type AS kind, count(*) AS n, sum(event_id) AS total FROM events GROUP BY event_type")
 def _stream_continuous(spark, sf_dir):
     """The events as a stream of files, aggregated by micro-batches."""
@@ -389,6 +418,33 @@ def _batch_ids(spark, sf_dir):
     return bad.filter((F.col("n") != F.col("all")) | (F.col("lo") != 5) | (F.col("hi") != after - 1)).select(F.lit("bad").alias("name"), F.col("lo"))
 
 
+@_query("batch_ids_gapless", "SELECT count(*) AS n, count(*) AS ids, 5::BIGINT AS lo, count(*) + 4 AS hi FROM orders")
+def _batch_ids_gapless(spark, sf_dir):
+    """Ids given to all orders: as many as rows, from 5 on without a gap."""
+    df, _ = mutate.numbered(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "id", 5)
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+
+
+@_query("changefeed_kinds", """
+    WITH gone AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey > 22),
+    near AS (SELECT n_nationkey AS s, unnest([(n_nationkey + 1) % 25, (n_nationkey * 2 + 7) % 25]) AS d FROM nation)
+    SELECT 'node.insert' AS kind, 1::BIGINT AS n UNION ALL SELECT 'node.label_add', 3 + 1 UNION ALL SELECT 'node.label_remove', 2 UNION ALL SELECT 'node.property_set', 3 + 3 + 1
+    UNION ALL SELECT 'node.property_remove', 2 UNION ALL SELECT 'node.delete', (SELECT count(*) FROM gone) UNION ALL SELECT 'edge.insert', 1 UNION ALL SELECT 'edge.property_set', 1 + 2
+    UNION ALL SELECT 'edge.property_remove', (SELECT count(*) FROM lineitem WHERE l_orderkey = 1)
+    UNION ALL SELECT 'edge.delete', (SELECT count(*) FROM gone) + (SELECT count(*) FROM customer JOIN gone ON c_nationkey = k) + (SELECT count(*) FROM supplier JOIN gone ON s_nationkey = k) + (SELECT count(*) FROM near WHERE s > 22 OR d > 22)""")
+def _changefeed_kinds(spark, sf_dir):
+    """How many events of each of the ten kinds a series of statements leaves."""
+    g = testgraph.load(spark, sf_dir)
+    low = Lowering(g)
+    for source in (
+        "MATCH (n:Nation) WHERE n.nationkey < 3 SET n.name = 'x', n.score = 1, n:Old", "MATCH (n:Nation) WHERE n.nationkey IN [5, 6] REMOVE n.name", "MATCH (n:Nation) WHERE n.nationkey IN [5, 6] REMOVE n:Nation",
+        "MATCH (n:Nation {nationkey: 1}) CREATE (c:City {name: 'c'})-[:AT {w: 1}]->(n)", "MATCH (n:Nation {nationkey: 7})-[r:NEAR]->(m) SET r.w = 1", "MATCH (o:Order {orderkey: 1})-[r:CONTAINS]->(p) REMOVE r.tax", "MATCH (n:Nation) WHERE n.nationkey > 22 DETACH DELETE n",
+    ):
+        low = Lowering(low.graph)
+        low.run(parse(source))
+    return diff.changes(g, low.graph).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 # files
 @_query("export_jsonl_counts", "SELECT 'node' AS kind, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n UNION ALL SELECT 'edge', 3 * count(*) FROM nation")
 def _export_jsonl(spark, sf_dir):
@@ -416,6 +472,29 @@ def _csv_roundtrip(spark, sf_dir):
     return low.run(parse("MATCH (r:Region) RETURN r.regionkey AS k, r.name AS name"))
 
 
+@_query("csv_roundtrip_orders", "SELECT o_orderkey AS k, o_custkey AS c, o_totalprice AS price, o_orderstatus AS status, o_orderpriority AS priority FROM orders")
+def _csv_roundtrip_orders(spark, sf_dir):
+    """All orders as CSV and back: integers, floats and strings as they were."""
+    from ..operators.graph import Graph
+    from ..sources import files
+
+    path = scratch(spark, "csv")
+    files.export_csv(testgraph.load(spark, sf_dir), path, "Order")
+    low = Lowering(files.import_csv(Graph(spark), f"{path}/nodes"))
+    return low.run(parse("MATCH (o:Order) RETURN o.orderkey AS k, o.custkey AS c, o.totalprice AS price, o.status AS status, o.priority AS priority"))
+
+
+@_query("export_jsonl_rows", "SELECT 'node' AS kind, c_custkey + 3000000000000 AS id, c_name AS name, c_acctbal AS acctbal, c_mktsegment AS segment FROM customer")
+def _export_jsonl_rows(spark, sf_dir):
+    """All customers as JSON lines, read back."""
+    from ..sources import files
+
+    path = scratch(spark, "jsonl")
+    files.export_jsonl(testgraph.load(spark, sf_dir), path, "Customer")
+    lines = spark.read.schema("kind string, value struct<id: long, properties: struct<name: string, acctbal: double, mktsegment: string>>").json(path)
+    return lines.filter("kind = 'node'").select("kind", "value.id", "value.properties.name", "value.properties.acctbal", F.col("value.properties.mktsegment").alias("segment"))
+
+
 @_query("dump_order", "SELECT n_nationkey + 2000000000000 AS id, n_name AS name FROM nation")
 def _dump(spark, sf_dir):
     from uuid import uuid4

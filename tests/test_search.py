@@ -95,3 +95,16 @@ def test_highlights_equal_brute_force(spark):
         if at:
             want[d] = min(3, n)
     assert found == want and Counter(found.values())
+
+
+def test_stemmed_query_equals_brute_force(spark):
+    docs = {r.doc_id: [tx.stem(w) for w in tx.phrase_tokens(r.text or "")] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    docs = {d: k for d, k in docs.items() if k}
+    mean = sum(map(len, docs.values())) / len(docs)
+    want = {}
+    for term in {tx.stem("ertions"), tx.stem("inlying")}:
+        hit = {d: k.count(term) for d, k in docs.items() if term in k}
+        for d, tf in hit.items():
+            want[d] = want.get(d, 0) + math.log((len(docs) - len(hit) + 0.5) / (len(hit) + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean))
+    found = {r.doc_id: r.score for r in registry.QUERIES["fts_stemmed"](spark, SMALL).collect()}
+    assert found and found == pytest.approx(want, abs=2e-6)
