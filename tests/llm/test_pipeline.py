@@ -23,3 +23,23 @@ def test_stages_take_edge_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, SMALL).collect()
         stage(spark, docs.limit(0), SMALL).collect()
+
+
+def test_stages_on_edge_rows_give_what_they_say(spark):
+    docs = common.stored(edge_docs(spark), "test")
+    given = sorted(map(str, docs.collect()))
+    quality, toxic, near, clean, pack = (f for _, f in corpus_pipeline.STAGES)
+    kept = [str(r) for r in quality(spark, docs, SMALL).collect()]
+    assert all(given.count(x) == kept.count(x) for x in set(kept)) and not any(r.text is None or len(r.text.split()) < 20 for r in quality(spark, docs, SMALL).collect())
+    kept = [str(r) for r in toxic(spark, docs, SMALL).collect()]
+    assert all(given.count(x) == kept.count(x) for x in set(kept)) and len({r.text in (None, "") for r in docs.collect()}) == 2
+    one = near(spark, docs, SMALL).collect()
+    assert [str(r) for r in one if str(r) not in given] == [] and len({str(r) for r in one}) == len(one)
+    assert sum(not (r.text or "").split() for r in one) == 1 and {r.doc_id for r in one if not (r.text or "").split()} == {0}
+    assert sorted(map(str, clean(spark, docs, SMALL).collect())) == given
+    pieces = pack(spark, docs, SMALL).collect()
+    assert sum(p.start == 0 for p in pieces) == len(given) and sum(p.doc_tokens == 1 for p in pieces) >= 4
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, SMALL)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
