@@ -186,4 +186,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, least: int = LEA
             yield packed(ids, names, first)[0]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(common.given_back(run, tokens.forget), ", ".join(f"{c} long" for c in columns))
+    return rows.mapInArrow(common.given_back(run), ", ".join(f"{c} long" for c in columns))

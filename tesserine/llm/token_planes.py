@@ -185,7 +185,7 @@ def write(docs: DataFrame, out_dir: str, tokenizer: str, kind: str = "bit", bloc
         if writer is not None:
             yield closed()
 
-    manifest = common.stored(dealt.mapInArrow(common.given_back(run, tokens.forget), "part long, number long, file string, n_docs long, n_ids long, n_bytes long"), "planes-manifest")
+    manifest = common.stored(dealt.mapInArrow(common.given_back(run), "part long, number long, file string, n_docs long, n_ids long, n_bytes long"), "planes-manifest")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 

@@ -4,15 +4,14 @@ The tokenizer drops white space before it splits a text into words, so the ids
 of a text are those of its white-space-free runs in turn. Runs repeat, hence a
 cache from run to id bytes does most of the work. A run of Latin-1 letters with
 punctuation after it splits into these two parts, and letters go to the
-tokenizer's model directly, many at once, in its own byte alphabet; every other
-run goes through the whole tokenizer. Texts are cut at ASCII white space alone.
+tokenizer's model directly, many at once, in its own byte alphabet; marks and
+every other run go through the whole tokenizer. Texts are cut at ASCII white space alone.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -21,11 +20,11 @@ import pyarrow.compute as pc
 
 #: Entries of the cache, the longest run that it keeps, and the characters of the
 #: texts that are encoded together.
-CACHE_WORDS, CACHE_CHARS, GROUP_CHARS = 150_000, 48, 4 << 20
+CACHE_WORDS, CACHE_CHARS, GROUP_CHARS = 200_000, 48, 4 << 20
 #: Runs of letters that go to the model in one call, whose result takes about 100 bytes
 #: a token.
 RUNS = 1 << 12
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+_SIMPLE = "\\A(?P<run>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\\[-\x60{-~]*)\\z"
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -75,30 +74,26 @@ class Encoder:
             out.update((r, data[i:j]) for r, i, j in zip(some, [0, *stops], stops, strict=False))
         return out
 
-    def _of(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words, from the cache or the tokenizer."""
-        known, match = self.known, _SIMPLE.fullmatch
+    def _of(self, words: list[str], fresh: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:
+        """Ids of distinct words or runs, from the cache or from fresh(those not there)."""
+        known = self.known
         out = list(map(known.get, words))
         new = [i for i, ids in enumerate(out) if ids is None]
         if self.older:
             for i, ids in zip(new, map(self.older.get, [words[i] for i in new]), strict=True):
                 out[i] = ids
-        split: list[tuple[int, str, str]] = []
+        made = fresh([words[i] for i in new if out[i] is None])
         for i in new:
             if out[i] is None:
-                if m := match(words[i]):
-                    split.append((i, m[1].lower(), m[2]))
-                else:
-                    out[i] = self.whole(words[i])
-        letters = self._letters(list({p[1] for p in split})) if split else {}
-        marks = {m: self.whole(m) for m in {p[2] for p in split}}
-        for i, run, mark in split:
-            out[i] = letters[run] + marks[mark]
+                out[i] = made[words[i]]
         known.update((words[i], out[i]) for i in new if len(words[i]) <= CACHE_CHARS)
         if 2 * len(known) > self.size:  # what is used goes on to the next generation
             self.older, self.known = known, {}
         return out
 
+    def _wholes(self, words: list[str]) -> dict[str, bytes]:
+        return {w: self.whole(w) for w in words}
+
     def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text (null: none), in turn."""
         group: list[str] = []
@@ -113,15 +108,30 @@ class Encoder:
             yield from self._encode(group)
 
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """A word is two pieces, a run of letters and the marks after it, or one piece
+        of another kind and an empty one; texts are gathered from distinct pieces."""
         parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         words = parts.values.dictionary_encode()
-        each = self._of(words.dictionary.to_pylist())
+        run, marks = pc.extract_regex(words.dictionary, _SIMPLE).flatten()
+        simple = run.is_valid()
+        runs, marks = pc.utf8_lower(run).dictionary_encode(), marks.dictionary_encode()
+        each = self._of(runs.dictionary.to_pylist(), self._letters)
+        at_marks = len(each)
+        each += self._of(marks.dictionary.to_pylist(), self._wholes)
+        at_others = len(each)
+        each += self._of(words.dictionary.filter(pc.invert(simple)).to_pylist(), self._wholes)
+        each.append(b"")
         size = np.fromiter(map(len, each), np.int32, len(each)) // 4
         flat = np.frombuffer(b"".join(each), "<u4")
-        del each
-        which = words.indices.to_numpy()
-        cuts = parts.offsets.to_numpy()
-        del parts, words
+        simple = simple.to_numpy(zero_copy_only=False)
+        pieces = np.empty((len(simple), 2), np.int32)
+        pieces[simple, 0] = runs.indices.drop_null().to_numpy()
+        pieces[simple, 1] = marks.indices.drop_null().to_numpy() + at_marks
+        pieces[~simple, 0] = np.arange(at_others, len(each) - 1)
+        pieces[~simple, 1] = len(each) - 1
+        which = pieces[words.indices.to_numpy()].ravel()
+        cuts = 2 * parts.offsets.to_numpy()
+        del parts, words, run, runs, marks, each
         n = size[which]
         stops = np.cumsum(n, dtype=np.int64)
         wide = np.int32 if not len(stops) or max(stops[-1], len(flat)) < 1 << 31 else np.int64
@@ -139,15 +149,11 @@ class Encoder:
 
 @cache
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file."""
+    """One encoder for each Python worker and file, which stays with its cache for the
+    worker's next tasks."""
     return Encoder(path)
 
 
-def forget() -> None:
-    """Drops the encoders of this process; the next one is read anew."""
-    encoder.cache_clear()
-
-
 def default_path() -> str:
     import public_tokenizers
 
