@@ -150,3 +150,10 @@ def test_edge_rows(spark):
 def test_normal_form_of_lone_surrogates():
     assert decontam.code_points("a\ud800").tolist() == [97, 0xD800]
     assert np.array_equal(decontam.qgrams(decontam.code_points("short")), np.zeros(0, np.uint64))
+
+
+def test_items_at_the_limit_of_short_ones_are_found_verbatim():
+    for n in range(decontam.LEAST_CHARS - 2, decontam.LEAST_CHARS + 3):
+        item = prose(40 + n, 20)[:n].strip(" ,.") + "x" * 5
+        item = item[:n]
+        assert set(decontam.Index.build([(1, item)]).matches(f"{prose(3, 9)} {item} {prose(4, 9)}")) == {0}, n
