@@ -253,3 +253,39 @@ def test_vectors_of_odd_sizes(spark):
     none = knn.InvertedLists(v.limit(0))
     assert none.search_many({1: [1.0, 0.0]}).count() == 0
     assert knn.search_many(v, {1: [1.0, 0.0], 2: [2.0], 3: None}, 1).count() == 2
+
+
+def test_graph_text_and_vectors_in_one_query(spark):
+    db = Database(spark)
+    db.query("CREATE (a:Document {name: 'a'})-[:TAGGED]->(:Category {name: 'x'}), (b:Document {name: 'b'})-[:TAGGED]->(:Category {name: 'y'}), (:Person {name: 'p'})")
+    ids = {r[1]: r[0] for r in db.query("MATCH (n) RETURN id(n) AS i, n.name AS name").collect()}
+    with db.write() as tx:
+        tx.set_vectors({ids["a"]: [1.0, 0.0, 0.0, 0.0], ids["b"]: [0.0, 1.0, 0.0, 0.0], ids["p"]: [1.0, 0.0, 0.0, 0.0]})
+        tx.fts_index(ids["a"], "graph databases")
+        tx.fts_index(ids["b"], "graph engines")
+        tx.fts_index(ids["b"], "other engines")
+        assert [r.id for r in tx.fts_search("graph").collect()] == [ids["a"]]
+    q = {"q": [1.0, 0.0, 0.0, 0.0]}
+    assert [tuple(r) for r in db.query("MATCH (d:Document)-[:TAGGED]->(c) WHERE d.embedding <=> $q < 0.5 AND d.text @@ 'graph' RETURN d.name, c.name", q).collect()] == [("a", "x")]
+    assert [r[0] for r in db.query("MATCH (d:Document) RETURN d.name AS n ORDER BY d.embedding <=> $q", q).collect()] == ["a", "b"]
+    with db.write() as tx:
+        tx.fts_remove(ids["a"])
+    assert db.fts_search("graph").count() == 0 and db.fts_search_fuzzy("engine").count() == 1
+
+
+def test_nested_values_come_back(spark):
+    db = Database(spark)
+    given = {"p": {"active": True, "n": 3}, "l": ["a", "b"], "v": [1.5, 2.5]}
+    db.query("CREATE (:Profile {name: 'x', note: null, profile: $p, tags: $l, v: $v})", given)
+    found = db.query("MATCH (p:Profile) RETURN p.profile AS p, p.tags AS l, p.v AS v, p.note AS note").first()
+    assert found.l == ["a", "b"] and [float(x) for x in found.v] == [1.5, 2.5] and found.note is None and found.p is not None
+
+
+def test_merge_rules(spark):
+    db = Database(spark)
+    for source in ("MERGE (a:A)-[:R]->(b:B)-[:R]->(c:C)", "MERGE (a:A)-[:R|S]->(b:B)", "MERGE (a:A)-[]->(b:B)"):
+        with pytest.raises(QueryError):
+            db.query(source)
+    for _ in range(2):
+        db.query("MERGE (a:A {k: 1}) ON CREATE SET a.made = 1 ON MATCH SET a.seen = 1")
+    assert rows(db.query("MATCH (a:A) RETURN a.made, a.seen")) == [(1, 1)]
