@@ -16,8 +16,8 @@ estimate, of however few rows, and no size makes a difference in kind.
 Every step is one aggregation over all rows by group and bin of distance (moments
 are sums of integers), so a source with a third of all rows is never gathered
 anywhere, and results don't depend on how rows are dealt. Estimates reach the rows
-as a broadcast table of at most BROADCAST_GROUPS groups; more are joined on the
-group and a salt.
+as a broadcast table of at most BROADCAST_GROUPS groups; more are tables, joined on
+the group and a salt, to the same result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -154,11 +154,6 @@ def _bin(d: Column) -> Column:
     return F.floor(F.log2(d + 2.0**LEAST_LOG) * BINS_PER_DOUBLING).cast("int")
 
 
-def edge(b: int) -> float:
-    """The upper end of a bin of distances."""
-    return 2.0 ** ((b + 1) / BINS_PER_DOUBLING) - 2.0**LEAST_LOG
-
-
 def estimate(n: float, s: list, q: list, scale: float = 1.0) -> tuple[list[float], list[float]]:
     """Centre and inverse Cholesky factor from sums; the diagonal has the floors
     added, so the factor exists whatever the rows."""
@@ -232,21 +227,52 @@ def _solved(sums: DataFrame, fields: str, solve) -> DataFrame:
     return common.map_rows(strings, f"grp string, start int, {fields}", run)
 
 
-ESTIMATE = "mu array<double>, inv array<double>"
+ESTIMATE = "mu array<double>, inv array<double>, det double"
 
 
 def _estimated(sums: list, _: dict) -> dict:
     mu, inv = estimate(sums[0], sums[1 : FEATURES + 1], sums[FEATURES + 1 :])
-    return {"mu": mu, "inv": inv}
+    k = [i * (i + 3) // 2 for i in range(FEATURES)]  # the factor's diagonal
+    return {"mu": mu, "inv": inv, "det": -2 * sum(float(np.log(inv[i])) for i in k)}
 
 
 def _gathered(params: DataFrame, groups: int) -> DataFrame:
     """One row for each group: mu, inv and det as arrays by start."""
-    det = F.col("det") if "det" in params.columns else F.lit(0.0)
-    wide = params.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("start", "mu", "inv", det.alias("det")))).alias("p"))  # STARTS entries
+    wide = params.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("start", "mu", "inv", "det"))).alias("p"))  # STARTS entries
     return common.stored(wide.select("grp", F.col("p.mu").alias("mu"), F.col("p.inv").alias("inv"), F.col("p.det").alias("det")), "mcd-params", groups)
 
 
+def _here(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """The same of rows (grp, start, mu, inv, det) that the driver has."""
+    by: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r["grp"], r["start"])):
+        by.setdefault(r["grp"], []).append(r)
+    doubles = pa.list_(pa.float64())
+    columns = [pa.array(list(by), pa.string())]
+    columns += [pa.array([[r[c] for r in of] for of in by.values()], k) for c, k in (("mu", pa.list_(doubles)), ("inv", pa.list_(doubles)), ("det", doubles))]
+    return spark.createDataFrame(pa.table(columns, names=["grp", "mu", "inv", "det"]))
+
+
+def _solve(sums: DataFrame, solve, groups: int) -> tuple[DataFrame, object]:
+    """Estimates, gathered, from sums (lang, grp, start, SUMS and more; none of it
+    shuffled but by group), and what tells whether the sums are those of the step
+    before. Up to BROADCAST_GROUPS groups the driver solves them, as it sends them
+    to all tasks anyway; beyond that they stay in tables."""
+    if groups > BROADCAST_GROUPS:
+        sums = common.stored(sums, "mcd-sums", STARTS * groups)
+        state = sums.agg(F.count(F.lit(1)), F.sum(F.xxhash64("grp", "start", *SUMS).cast("decimal(38,0)"))).first()
+        return _gathered(_solved(sums, ESTIMATE, solve), groups), state
+    rows = [r.asDict() for r in sums.collect()]
+    own = {(r["grp"], r["start"]): [int(r[n]) for n in SUMS] for r in rows}
+    lang: dict = {}
+    every: dict = {}
+    for r in rows:
+        for table, key in ((lang, (r["lang"], r["start"])), (every, r["start"])):
+            table[key] = [x + y for x, y in zip(table.get(key, [0] * len(SUMS)), own[r["grp"], r["start"]], strict=True)]
+    made = [{"grp": r["grp"], "start": r["start"]} | solve(blended(own[r["grp"], r["start"]], blended(lang[r["lang"], r["start"]], every[r["start"]])), r) for r in rows]
+    return _here(sums.sparkSession, made), own
+
+
 def _binned(rows: DataFrame, params: DataFrame, groups: int) -> DataFrame:
     """lang, grp, start, bin and SUMS of the rows in each bin of distance."""
     x = [F.col(f"x{i}") for i in range(FEATURES)]
@@ -277,7 +303,8 @@ def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
     size = F.greatest(F.sqrt(sum((v * v for v in z), F.lit(0.0))), F.lit(1e-9))
     unit = 1 << 12  # as integers, whose sums don't depend on their order
     values = [[F.round(f(v) * unit).cast("long") for v in z] for f in (F.tanh, lambda v: v / size)]
-    made = [F.struct(F.lit(k + 1).alias("start"), *[c.alias(f"y{i}") for i, c in enumerate(v)]) for k, v in enumerate(values)]
+    values.append([F.lit(0).cast("long")] * FEATURES)  # without correlations
+    made = [F.struct(F.lit(k).alias("start"), *[c.alias(f"y{i}") for i, c in enumerate(v)]) for k, v in enumerate(values)]
     y = [F.col(f"y{i}") for i in range(FEATURES)]
     sums = _met(rows, medians, groups).select("lang", "grp", F.explode(F.array(*made)).alias("e")).select("lang", "grp", "e.*").groupBy("lang", "grp", "start").agg(*_sums(y))
 
@@ -293,17 +320,9 @@ def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
         np.fill_diagonal(cor, 1)
         cor = 0.95 * cor + 0.05 * np.eye(FEATURES)
         inv = np.linalg.inv(np.linalg.cholesky(cor * np.outer(r["r"], r["r"])))
-        return {"mu": r["m"], "inv": [float(inv[i, j]) for i in range(FEATURES) for j in range(i + 1)]}
+        return {"mu": r["m"], "inv": [float(inv[i, j]) for i in range(FEATURES) for j in range(i + 1)], "det": 0.0}
 
-    others = _solved(common.stored(sums.join(medians, "grp"), "mcd-signs", STARTS * groups), ESTIMATE, solve)
-    inv = [1 / F.col("r")[i] if i == j else F.lit(0.0) for i in range(FEATURES) for j in range(i + 1)]
-    return _gathered(medians.select("grp", F.lit(0).alias("start"), F.col("m").alias("mu"), F.array(*inv).alias("inv")).unionByName(others), groups), groups
-
-
-def _least(sums: list, _: dict) -> dict:
-    mu, inv = estimate(sums[0], sums[1 : FEATURES + 1], sums[FEATURES + 1 :])
-    k = [i * (i + 3) // 2 for i in range(FEATURES)]  # the factor's diagonal
-    return {"mu": mu, "inv": inv, "det": -2 * sum(float(np.log(inv[i])) for i in k)}
+    return _solve(sums.join(medians, "grp"), solve, groups)[0], groups
 
 
 def fit(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -313,19 +332,18 @@ def fit(rows: DataFrame) -> tuple[DataFrame, int]:
     before = None
     for _ in range(STEPS):
         within = _within(_binned(rows, params, groups), F.col("before") < F.ceil(F.col("all") * SUBSET))
-        inside = common.stored(_added(within, "lang", "grp", "start"), "mcd-inside", STARTS * groups)
-        state = inside.agg(F.count(F.lit(1)), F.sum(F.xxhash64("grp", "start", *SUMS).cast("decimal(38,0)"))).first()
+        params, state = _solve(_added(within, "lang", "grp", "start"), _estimated, groups)
         if state == before:
             break
-        params, before = _gathered(_solved(inside, f"{ESTIMATE}, det double", _least), groups), state
+        before = state
     one = F.array_min(F.transform(F.arrays_zip("det", "mu", "inv"), lambda p, i: F.struct(p["det"].alias("det"), i.alias("start"), p["mu"].alias("mu"), p["inv"].alias("inv"))))
     best = params.select("grp", one.alias("b")).select("grp", F.array("b.mu").alias("mu"), F.array("b.inv").alias("inv"))
-    table = common.stored(_binned(rows, common.stored(best, "mcd-best", groups), groups), "mcd-bins", 100 * groups)
+    table = common.stored(_binned(rows, best, groups), "mcd-bins", 100 * groups)
     units = _units(table).select("grp", F.expr(f"unit * {REWEIGHT}").alias("most"))
     near = F.pow(F.lit(2.0), (F.col("bin") + 1) / float(BINS_PER_DOUBLING)) - 2.0**LEAST_LOG <= F.col("most")
     # the nearest bin stays in any case, so that there is an estimate
     inside = _within(table.join(units, "grp"), near | (F.col("before") == 0))
-    params = _gathered(_solved(common.stored(_added(inside, "lang", "grp", "start"), "mcd-inside", groups), ESTIMATE, _estimated), groups)
+    params, _ = _solve(_added(inside, "lang", "grp", "start"), _estimated, groups)
     units = _units(common.stored(_binned(rows, params, groups), "mcd-bins", 100 * groups))
     return common.stored(params.join(units, "grp").select("grp", F.col("mu")[0].alias("mu"), F.col("inv")[0].alias("inv"), "unit"), "mcd", groups), groups
 
