@@ -12,6 +12,8 @@ from ..plans.errors import QueryError
 #: Hops after which an unbounded pattern is given up with an error. Paths meet no node
 #: twice, so it ends by itself in a graph with shorter simple paths.
 UNBOUNDED = 10_000
+#: Tables of hops that are put together to one.
+PARTS = 12
 #: Hops after which a frontier is asked whether anything is left of it.
 PROBE_FROM = 4
 
@@ -55,15 +57,21 @@ def reachable(starts: DataFrame, edges: DataFrame, most: int | None = None) -> D
     each start (column id), itself at 0, once, at its least depth. A breadth-first
     search of all starts together; what was met before leaves the frontier by an
     anti-join. It ends when nothing new is met."""
-    from .graph import settled
+    from .graph import discard, settled
 
     step = edges.select(F.col("s").alias("node"), F.col("d").alias("__d")).distinct()
-    seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct()
-    frontier = seen
+    seen = frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct()
+    parts: list[DataFrame] = []  # written tables that seen is the union of
     for depth in count(1) if most is None else range(1, most + 1):
         new = frontier.join(step, "node").select("start", F.col("__d").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
         frontier = settled(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        parts.append(frontier)
+        if len(parts) == PARTS:  # so that plans stay small, however deep the search
+            seen = settled(seen)
+            for p in parts[:-1]:
+                discard(p)
+            parts = [seen]
     return seen
