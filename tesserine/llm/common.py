@@ -15,12 +15,14 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch, so that a batch of very long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
+#: Rows and bytes of one Arrow batch, and rows of one batch of a Parquet scan, so that
+#: batches of very long texts stay small.
+BATCH_ROWS, BATCH_BYTES, SCAN_ROWS = 2048, 4 << 20, 512
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that Python workers get."""
+    """Bounds the batches that scans of texts make and Python workers get."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
