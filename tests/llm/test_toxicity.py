@@ -2,6 +2,8 @@ import random
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tesserine.llm import toxicity
 
@@ -136,3 +138,77 @@ def test_training_lowers_the_loss_and_finds_the_words():
     assert -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) < 0.1 < np.log(2)
     assert [model.score(t) for t in texts[:5]] == [toxicity.train(texts, y).score(t) for t in texts[:5]]
     assert toxicity.train([], np.zeros(0, np.float32)).score(b"a b") == toxicity.train([b""], np.ones(1, np.float32)).score(b"a b")
+
+
+def many(spark, n=4400):
+    """Toxic and clean rows in turn, n of each. A toxic text has one of two words: the
+    first among the 3,000 labelled toxic ids outside the held-out fold that have the
+    least hash, the other beyond."""
+    ids = spark.range(1, 2 * n, 2).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h"), (toxicity.remainder() == 0).alias("held")).orderBy("h").collect()
+    least = {r.doc_id for r in [r for r in ids if not r.held][:3000]}
+    most = max(r.h for r in ids if r.doc_id in least)
+    word = {r.doc_id: "zorgx" if r.h <= most else "blarg" for r in ids}
+    rng = random.Random(5)
+    rows = [(i, " ".join([rng.choice(["one", "two", "three", "four"]) for _ in range(6)] + [word.get(i, "five")]), "aa" if i % 4 < 2 else "bb") for i in range(2 * n)]
+    return rows, word, spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1, i % 2) for i in range(2 * n)], "doc_id long, quality int, toxic int")
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    rows, word, docs, labels = many(spark)
+    for size in (1 << 13, 2000):
+        monkeypatch.setattr(toxicity, "SHARD_ROWS", size)
+        found = {r.doc_id: r for r in toxicity.score(docs, labels).filter("held_out").collect()}
+        for w in ("zorgx", "blarg"):
+            own = [i for i in found if word.get(i) == w]
+            assert len(own) > 50 and all(found[i].predicted == 1 and found[i].toxic for i in own), (size, w)
+        assert not any(r.predicted or r.toxic for i, r in found.items() if i not in word)
+
+
+def test_shards_and_calibration_take_every_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    rows, labels = corpus(600)
+    docs = spark.createDataFrame([*rows, rows[1], rows[1]], "doc_id long, text string, lang string")
+    got = toxicity.labelled(docs, spark.createDataFrame([*labels, (3, 1, 0), (None, 1, 1), (9999, 1, 1)], "doc_id long, quality int, toxic int"))
+    every = {r.doc_id: r for r in got.collect()}
+    assert sorted(every) == [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5] and got.count() == len(every)
+    assert all((r.text, r.lang, r.toxic) == (rows[i][1], rows[i][2], labels[i][2]) for i, r in every.items())
+    part = got.filter("not check")
+    files, seen = toxicity.shards(part, part.count(), f"file://{tmp_path}/shards")
+    assert len(files) > 2 and sum(n for _, n in files) == part.count() == sum(not r.check for r in every.values())
+    slow = np.zeros(toxicity.BUCKETS, int)
+    for r in part.collect():
+        slow[list(set(toxicity.features(r.text.lower().encode().split()).ravel()) - {0})] += 1
+    assert (seen == slow).all()
+    # the thresholds are those of every row's score, in levels
+    model = toxicity.trained(spark, files, seen).model()
+    check = [r for r in every.values() if r.check]
+    score = np.array([round(model.score(r.text.encode()) * toxicity.LEVELS) / toxicity.LEVELS for r in check])
+    y = np.array([r.toxic for r in check])
+    want = {lang: toxicity.calibrate(score, y, np.array([r.lang == lang for r in check]) + toxicity.PRIOR_ROWS / len(check)) for lang in ("aa", "bb")}
+    assert toxicity.thresholds_of(got.filter("check"), model) == pytest.approx({None: toxicity.calibrate(score, y), **want})
+
+
+def test_partitions_and_repeats_have_no_part_in_the_model(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 60)
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    (a, cuts), (b, others) = toxicity.fit(docs, known), toxicity.fit(docs.union(docs.limit(40)).repartition(7), known.repartition(3))
+    assert (a.table == b.table).all() and (a.out == b.out).all() and cuts == others
+
+
+def test_long_texts_are_gone_over_in_pieces(monkeypatch):
+    words = toxicity.Words()
+    texts = [prose(1, 500), "one", "", prose(2, 3), prose(3, 90)]
+    shard = toxicity.Shard.of(words, [words.ids(t.encode()).astype(np.int32) for t in texts], [0.0] * 5)
+    net = toxicity.Net.new(np.full(toxicity.BUCKETS, 9))
+    begins, buckets = np.cumsum(shard.sizes) - shard.sizes, shard.buckets.astype(np.int64)
+    most, place = net._pool(shard, buckets, begins, shard.sizes)
+    for block in (1, 3, 64):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        again, there = net._pool(shard, buckets, begins, shard.sizes)
+        assert np.allclose(most, again, atol=1e-5) and (buckets[shard.ids[place]] == buckets[shard.ids[there]]).all()  # equal phrases tie
+    model = net.model()
+    for t, m in zip(texts, most, strict=True):
+        pooled = np.maximum(np.where(np.isfinite(m), m + model.bias, 0), 0)
+        assert abs(1 / (1 + np.exp(-(pooled @ model.out + model.out_bias))) - slow_score(model, t)) < 1e-4
