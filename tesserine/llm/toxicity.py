@@ -47,7 +47,7 @@ EPOCHS, BATCH, RATE, SEED = 6, 64, 0.02, 7
 CHUNK, BLOCK = 1 << 12, 1 << 16
 #: Parts of one in which shards' changes are summed, and levels of scores in which
 #: calibration counts its rows.
-UNIT, LEVELS = 1 << 20, 1 << 16
+UNIT, LEVELS = 1 << 30, 1 << 16
 #: Training texts that a bucket must occur in; rarer ones count for nothing.
 LEAST_TEXTS = 5
 #: Share of false alarms among clean rows that a language's threshold allows, and the
@@ -290,19 +290,20 @@ class Net:
 
     def values(self) -> np.ndarray:
         """All that training changes, DIM + 1 numbers a row: a row for each bucket,
-        then all else."""
-        rest = np.concatenate([x.ravel().astype(np.float64) for k, v in self.dense.items() for x in (v, *self.moments[k])] + [np.array([self.t])])
+        then all else. All are small, as they are summed in UNITs as 64-bit integers."""
+        rest = np.concatenate([x.ravel().astype(np.float64) for k, v in self.dense.items() for x in (v, *self.moments[k])] + [np.array([self.t / 1024])])
         rest = np.concatenate([rest, np.zeros(-len(rest) % (DIM + 1))])
         return np.concatenate([np.column_stack([self.emb, self.emb_v]).astype(np.float64), rest.reshape(-1, DIM + 1)])
 
     def with_values(self, values: np.ndarray) -> Net:
         net, rest, at = copy.deepcopy(self), values[BUCKETS:].ravel(), 0
-        net.emb, net.emb_v = values[:BUCKETS, :DIM].astype(np.float32), values[:BUCKETS, DIM].astype(np.float32)
+        net.emb, net.emb_v = values[:BUCKETS, :DIM].astype(np.float32), np.maximum(values[:BUCKETS, DIM], 0).astype(np.float32)
         for k, v in net.dense.items():
             for x in (v, *net.moments[k]):
                 x[...] = rest[at : at + x.size].reshape(x.shape)
                 at += x.size
-        net.t = float(rest[at])
+            np.maximum(net.moments[k][1], 0, out=net.moments[k][1])  # a mean of squares, rounded, may be under 0
+        net.t = float(rest[at] * 1024)
         return net
 
 
@@ -385,7 +386,7 @@ def shards(rows: DataFrame, n: int, folder: str) -> tuple[list[tuple[str, int]],
     in."""
     dealt = -(-n // SHARD_ROWS)
     rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(dealt)).alias("bin"), F.xxhash64("doc_id", "h").alias("mixed"), "doc_id", "h", "toxic", "text")
-    rows = rows.repartition(dealt, "bin").sortWithinPartitions("bin", "mixed", "doc_id", "h").select("bin", "toxic", "text")
+    rows = rows.repartitionByRange(dealt, "bin").sortWithinPartitions("bin", "mixed", "doc_id", "h").select("bin", "toxic", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, part, size, words, ids, labels = -1, 0, 0, Words(), [], []

@@ -4,6 +4,7 @@ from tesserine.llm import common
 
 from ..conftest import SMALL
 from .fixtures import edge_docs
+from .test_toxicity import many
 
 
 def test_stages_keep_columns_and_take_effect(spark):
@@ -43,3 +44,12 @@ def test_stages_on_edge_rows_give_what_they_say(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, empty, SMALL)
         assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
+def test_the_toxicity_stage_learns_from_every_labelled_row_it_is_given(spark, tmp_path):
+    rows, word, docs, labels = many(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, str(tmp_path)).select("doc_id").collect()}
+    for w in ("zorgx", "blarg"):
+        assert not [i for i in kept if word.get(i) == w], w
+    assert kept == {i for i, _, _ in rows if i not in word}

@@ -212,3 +212,17 @@ def test_long_texts_are_gone_over_in_pieces(monkeypatch):
     for t, m in zip(texts, most, strict=True):
         pooled = np.maximum(np.where(np.isfinite(m), m + model.bias, 0), 0)
         assert abs(1 / (1 + np.exp(-(pooled @ model.out + model.out_bias))) - slow_score(model, t)) < 1e-4
+
+
+def test_rounded_means_of_squares_dont_fall_under_zero():
+    net = toxicity.Net.new(np.full(toxicity.BUCKETS, 9))
+    net.t = 77.0
+    same = net.with_values(net.values())
+    assert same.t == 77 and (same.emb == net.emb).all() and all((same.dense[k] == v).all() for k, v in net.dense.items())
+    under = net.with_values(net.values() - 1e-9)
+    assert under.emb_v.min() == 0 and all(v.min() >= 0 for _, v in under.moments.values())
+    words = toxicity.Words()
+    shard = toxicity.Shard.of(words, [words.ids(prose(k, 20).encode()).astype(np.int32) for k in range(100)], [k % 2 for k in range(100)])
+    with np.errstate(invalid="raise"):
+        under.epoch(shard, np.random.default_rng(1))
+    assert np.isfinite(under.values()).all()
