@@ -226,3 +226,16 @@ def test_rounded_means_of_squares_dont_fall_under_zero():
     with np.errstate(invalid="raise"):
         under.epoch(shard, np.random.default_rng(1))
     assert np.isfinite(under.values()).all()
+
+
+def test_the_driver_neither_trains_nor_gets_texts(spark, monkeypatch):
+    def never(*_, **__):
+        raise AssertionError("in the driver")
+
+    for name in ("train", "sample", "features"):
+        monkeypatch.setattr(toxicity, name, never)
+    monkeypatch.setattr(toxicity.Words, "ids", never)
+    rows, labels = corpus(200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, thresholds = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert model.table.any() and set(thresholds) == {None, "aa", "bb"}
