@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from tesserine.functions import text as tx
+from tesserine.operators import fts
 from tesserine.operators.graph import Graph
 from tesserine.plans.lower import Lowering
 from tesserine.plans.parser import parse
@@ -19,3 +21,26 @@ def test_many_that_meet_many_are_spread(spark):
     sa, sb = sum(range(1, 5001)), sum(range(10_000, 14_500))
     assert [sum(r[k] for r in found) for k in ("n", "a", "b", "ab")] == [5000 * 4500, sa * 4500, sb * 5000, sa * sb]
     assert max(r["n"] for r in found) < 5000 * 4500 / 2
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") + df._jdf.queryExecution().executedPlan().toString().count("Exchange rangepartitioning")
+
+
+def test_postings_come_from_a_documents_own_row(spark):
+    docs = spark.createDataFrame([(1, "The cats ran, CATS_2 é cats"), (2, None), (3, "the of"), (4, "x" * 65 + " yy"), (5, "yy")], "id long, text string")
+    for stemmed in (False, True):
+        index = fts.TextIndex(docs, stemmed)
+        assert shuffles(index.postings()) == shuffles(index.tokens) == 0
+    found = {(r.term, r.id): (r.len, r.tf, r.positions) for r in fts.TextIndex(docs).postings().collect()}
+    assert found == {("cats", 1): (4, 2, [0, 3]), ("ran", 1): (4, 1, [1]), ("cats_2", 1): (4, 1, [2]), ("yy", 4): (1, 1, [0]), ("yy", 5): (1, 1, [0])}
+    want = {r.id: r.tokens for r in docs.select("id", tx.tokens(F.col("text")).alias("tokens")).collect() if r.tokens}
+    assert {r.id: r.tokens for r in fts.TextIndex(docs).tokens.collect()} == want
+
+
+def test_fuzzy_search_shuffles_matches_alone(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "hello"), (2, "hallo world"), (3, "other")], "id long, text string")
+    index = fts.TextIndex(docs).build(f"file://{tmp_path}/index")
+    out = index.search_fuzzy("hello")
+    assert {r.id for r in out.collect()} == {1, 2}
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
