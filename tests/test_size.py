@@ -44,3 +44,20 @@ def test_fuzzy_search_shuffles_matches_alone(spark, tmp_path):
     out = index.search_fuzzy("hello")
     assert {r.id for r in out.collect()} == {1, 2}
     assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hops_write_paths_alone(spark, monkeypatch):
+    """A deep pattern's tables hold no property that nothing reads, and edges are computed once."""
+    from tesserine.operators import graph
+
+    written, settled = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: written.append(df.columns) or settled(df))
+    nodes = spark.range(1, 8, 1, 1).select(F.col("id").alias("__id"), F.col("id").alias("x"), F.lit("long text").alias("note"))
+    edges = spark.range(1, 7, 1, 1).select(F.col("id").alias("__id"), F.col("id").alias("__src"), (F.col("id") + 1).alias("__dst"))
+    g = Graph(spark).with_nodes("A", nodes, ("A",)).with_edges("T", edges, "A", "A")
+    rows = lambda q: [tuple(r) for r in Lowering(g).run(parse(q)).collect()]
+    assert rows("MATCH (a:A)-[:T*]->(b:A) RETURN count() AS n") == [(21,)]
+    assert written and all(c == ["a", "__path", "__end"] for c in written)
+    written.clear()
+    assert sorted(rows("MATCH (a:A)-[:T*3..]->(b:A) RETURN a.x AS a, b.x AS b")) == [(a, b) for a in range(1, 8) for b in range(a + 3, 8)]
+    assert sum("__path" in c for c in written) and not any("__path" in c and "__a_p_note" in c for c in written)
