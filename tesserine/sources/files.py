@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import mutate
-from ..operators.graph import EDGE_KEYS, NODE_KEYS, Graph, settled
+from ..operators.graph import EDGE_KEYS, NODE_KEYS, Graph, NodeTable, settled, union
 
 #: Strings that stand for bytes in JSON begin so, with hexadecimal digits after it.
 HEX = "^0x([0-9a-fA-F]{2})*$"
@@ -107,21 +107,52 @@ def import_csv(g: Graph, nodes: str, edges: str | None = None) -> Graph:
     return _add_edges(g, joined.drop("s", "d"), [], False)
 
 
+def _wanted(labels: str | None) -> list[str]:
+    return [x.strip() for x in labels.split(",") if x.strip()] if labels else []
+
+
+def _may(x: NodeTable, wanted: set[str]) -> bool:
+    """Whether a table may have nodes with any of the labels; one that names none may."""
+    known = x.every | x.some
+    return not wanted or not known or bool(known & wanted)
+
+
+def _labelled(g: Graph, labels: str | None) -> DataFrame:
+    """Nodes with any of the labels, or all; only tables that may have such are read."""
+    wanted = _wanted(labels)
+    within = frozenset(n for n, x in g.nodes.items() if _may(x, set(wanted)))
+    frame = g.node_frame((), within)
+    if frame is None:
+        frame = g.spark.createDataFrame([], "__id long, __labels array<string>")
+    return frame.filter(F.arrays_overlap("__labels", F.array(*[F.lit(x) for x in wanted]))) if wanted else frame
+
+
+def _between(g: Graph, frame: DataFrame, labels: str | None) -> DataFrame:
+    """Edges between the nodes of frame. An end that is known to be in tables of such nodes
+    alone is not looked up; a table with an end that is in none of them is not read."""
+    wanted = set(_wanted(labels))
+    whole = {n for n, x in g.nodes.items() if not wanted or x.every & wanted}
+    some = {n for n, x in g.nodes.items() if _may(x, wanted)}
+    ids = frame.select(F.col("__id").alias("__n"))
+    parts = []
+    for kind, x in g.edges.items():
+        if any(end is not None and not end & some for end in (x.src, x.dst)):
+            continue
+        df = x.df.withColumn("__type", F.lit(kind))
+        for end, at in ((x.src, "__src"), (x.dst, "__dst")):
+            if g.dangling or end is None or not end <= whole:
+                df = df.join(ids, F.col(at) == F.col("__n"), "left_semi")
+        parts.append(df)
+    edges = union(parts)
+    return g.spark.createDataFrame([], "__id long, __src long, __dst long, __type string") if edges is None else edges
+
+
 def exported(g: Graph, labels: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, labels, properties as JSON, keys in order) and edges (id, source,
     target, type, properties) to export. With labels, separated by commas, nodes that
     have any of them, once each, and edges between these."""
-    wanted = [x.strip() for x in labels.split(",") if x.strip()] if labels else []
-    frame = g.node_frame()
-    if frame is None:
-        frame = g.spark.createDataFrame([], "__id long, __labels array<string>")
-    if wanted:
-        frame = frame.filter(F.arrays_overlap("__labels", F.array(*[F.lit(x) for x in wanted])))
-    edges = g.edge_frame()
-    if edges is None:
-        edges = g.spark.createDataFrame([], "__id long, __src long, __dst long, __type string")
-    ids = frame.select(F.col("__id").alias("__n"))
-    edges = edges.join(ids, F.col("__src") == F.col("__n"), "left_semi").join(ids, F.col("__dst") == F.col("__n"), "left_semi")
+    frame = _labelled(g, labels)
+    edges = _between(g, frame, labels)
     nodes = frame.select(F.col("__id").alias("id"), F.sort_array("__labels").alias("labels"), _json(frame, NODE_KEYS).alias("properties"))
     return nodes, edges.select(F.col("__id").alias("id"), F.col("__src").alias("source"), F.col("__dst").alias("target"), F.col("__type").alias("type"), _json(edges, (*EDGE_KEYS, "__type")).alias("properties"))
 
@@ -153,11 +184,10 @@ def export_jsonl(g: Graph, path: str, labels: str | None = None) -> None:
 
 def export_csv(g: Graph, path: str, labels: str | None = None) -> None:
     """Folders nodes and edges of CSV files with headers, as import_csv reads them."""
-    nodes, edges = exported(g, labels)
-    frame = g.node_frame()
-    props = [c for c in frame.columns if c not in NODE_KEYS] if frame is not None else []
-    flat = nodes.select("id").join(frame, F.col("id") == F.col("__id")) if frame is not None else nodes
-    flat.select(F.col("id").alias("_id"), F.concat_ws(";", "__labels").alias("_labels"), *[F.col(f"`{p}`").cast("string").alias(p) for p in props]).write.csv(f"{path}/nodes", header=True, escape='"')
+    _, edges = exported(g, labels)
+    frame = _labelled(g, labels)
+    props = [c for c in frame.columns if c not in NODE_KEYS]
+    frame.select(F.col("__id").alias("_id"), F.concat_ws(";", "__labels").alias("_labels"), *[F.col(f"`{p}`").cast("string").alias(p) for p in props]).write.csv(f"{path}/nodes", header=True, escape='"')
     edges.select(F.col("source").alias("_source"), F.col("target").alias("_target"), F.col("type").alias("_type")).write.csv(f"{path}/edges", header=True, escape='"')
 
 

@@ -7,6 +7,7 @@ from tesserine.operators import fts
 from tesserine.operators.graph import Graph
 from tesserine.plans.lower import Lowering
 from tesserine.plans.parser import parse
+from tesserine.sources import files
 
 
 def test_many_that_meet_many_are_spread(spark):
@@ -61,3 +62,14 @@ def test_hops_write_paths_alone(spark, monkeypatch):
     written.clear()
     assert sorted(rows("MATCH (a:A)-[:T*3..]->(b:A) RETURN a.x AS a, b.x AS b")) == [(a, b) for a in range(1, 8) for b in range(a + 3, 8)]
     assert sum("__path" in c for c in written) and not any("__path" in c and "__a_p_note" in c for c in written)
+
+
+def test_an_export_reads_only_what_it_may_need(spark):
+    few = lambda first, n: spark.range(first, first + n, 1, 1).select(F.col("id").alias("__id"), F.col("id").alias("x"))
+    edges = lambda a, b: spark.createDataFrame([(a, a, b)], "__id long, __src long, __dst long")
+    g = Graph(spark).with_nodes("A", few(1, 3), ("A",)).with_nodes("B", few(10, 3).withColumnRenamed("x", "other"), ("B",))
+    g = g.with_edges("AA", edges(1, 2), "A", "A").with_edges("AB", edges(2, 10), "A", "B").with_edges("ANY", edges(3, 10).unionByName(edges(3, 1)))
+    nodes, found = files.exported(g, "A")
+    assert {r.id for r in nodes.collect()} == {1, 2, 3} and "other" not in files._labelled(g, "A").columns
+    assert sorted((r.source, r.target, r.type) for r in found.collect()) == [(1, 2, "AA"), (3, 1, "ANY")]
+    assert {r.type for r in files.exported(g)[1].collect()} == {"AA", "AB", "ANY"}
